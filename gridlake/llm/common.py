@@ -28,8 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path that nothing else uses, in a folder of the shared one that goes when the application ends."""
+    context = spark.sparkContext
+    folder = f"{shared_dir(spark)}/gridlake-{context.applicationId}"
+    at = context._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(context._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(frame: DataFrame) -> DataFrame:
