@@ -32,8 +32,8 @@ from .common import cut
 FOLDS = 5
 #: Voters of each kind at most; least number, and share of all, of labelled toxic texts behind one; its least precision.
 VOTERS, SUPPORT, SHARE, PRECISION = 60, 8, 0.002, 0.97
-#: Documents that train the classifier at most, chosen by a digest of the text.
-TRAINED = 16_000
+#: Labelled documents that find the voters, and documents that train the classifier, at most; chosen by digests.
+LABELLED, TRAINED = 100_000, 16_000
 #: Slots of hashed features, passes and strength of the ridge in training, least number of texts with a feature.
 SLOTS, PASSES, RIDGE, RARE = 1 << 18, 200, 1e-4, 3
 #: Standard deviations by which a feature's share of toxic texts must leave the average, to be trained on.
@@ -45,7 +45,6 @@ STEMS = (4, 5, 6)
 #: Voters on the shape of a text: marks, digits, and the share of characters above which they vote clean.
 SHAPES = ((re.compile(r"[^\w\s]"), 0.15), (re.compile(r"\d"), 0.15))
 _WORD = re.compile(r"[^\W\d_]+")
-_known: dict[str, tuple[int, ...]] = {}
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -62,33 +61,53 @@ def features(text: str) -> set[str]:
     return seen | {w[:n] + "*" for w in seen for n in STEMS if len(w) > n}
 
 
-def slots(text: str) -> list[int]:
-    """Slots of a text's features, each once."""
-    out: set[int] = set()
-    for w in words(text):
-        own = _known.get(w)
-        if own is None:
-            if len(_known) >= WORDS:
-                _known.clear()
-            own = _known[w] = tuple(xxhash.xxh64_intdigest(x) % SLOTS for x in (w, *(w[:n] + "*" for n in STEMS if len(w) > n)))
-        out.update(own)
-    return sorted(out)
+def word_features(word: str) -> tuple[str, ...]:
+    """What a word gives to :func:`features`."""
+    return (word, *(word[:n] + "*" for n in STEMS if len(word) > n))
+
+
+def slot(feature: str) -> int:
+    return xxhash.xxh64_intdigest(feature) % SLOTS
+
+
+class PerWord:
+    """What ``of`` gives for each word of a text, as one set; a bounded number of words is remembered.
+
+    Only ``of`` travels to the workers, each of which remembers for itself.
+    """
+
+    def __init__(self, of, most: int = WORDS):
+        self.of, self.most, self.known = of, most, {}
+
+    def __reduce__(self):
+        return PerWord, (self.of, self.most)
+
+    def __call__(self, text: str) -> set[int]:
+        out: set[int] = set()
+        known = self.known
+        for w in words(text):
+            own = known.get(w)
+            if own is None:
+                if len(known) >= self.most:
+                    known.clear()
+                own = known[w] = tuple(self.of(w))
+            if own:
+                out.update(own)
+        return out
 
 
 class Voters:
     """Lexicon and stem voters, voters on shape, and a background voter."""
 
     def __init__(self, names: list[str]):
-        self.at = {name: i for i, name in enumerate(names)}
+        self.at = at = {name: i for i, name in enumerate(names)}
         self.m = len(names) + len(SHAPES) + 1
+        self.hits = PerWord(lambda w: [at[x] for x in word_features(w) if x in at])
 
     def vote(self, text: str) -> np.ndarray:
         """1 toxic, -1 clean, 0 abstain; the last voter calls clean what no lexicon or stem voter calls toxic."""
         out = np.zeros(self.m, np.int8)
-        seen = words(text)
-        hits = [self.at[x] for x in seen if x in self.at]
-        for n in STEMS:
-            hits += [self.at[x] for x in {w[:n] + "*" for w in seen if len(w) > n} if x in self.at]
+        hits = list(self.hits(text))
         out[hits] = 1
         for k, (kind, share) in enumerate(SHAPES):
             out[len(self.at) + k] = -int(len(kind.findall(text)) > share * len(text))
@@ -111,7 +130,7 @@ def choose_voters(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_
 
 
 def find_voters(training: DataFrame) -> tuple[Voters, float]:
-    """Voters from all labelled texts (text, toxic) of the training fold, and its share of toxic ones.
+    """Voters from labelled texts (text, toxic) of the training fold, and the share of toxic ones.
 
     Features of toxic texts are counted first; those in enough toxic texts are then counted in the clean ones. What
     comes to the driver is bounded by the support: a text has few features, so few can be in a given share of texts.
@@ -204,13 +223,17 @@ def train(rows: list[list[int]], target: np.ndarray, passes: int = PASSES, ridge
 
 
 class Classifier:
-    """What scores a text."""
+    """What scores a text: ``weights`` has one for each slot and, last, the intercept. Most are zero and not looked at."""
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights
+        heavy = {int(k): float(weights[k]) for k in np.flatnonzero(weights[:-1])}
+        self.heavy, self.intercept = heavy, float(weights[-1])
+        self.slots = PerWord(lambda w: [k for k in map(slot, word_features(w)) if k in heavy])
 
     def score(self, text: str) -> float:
-        z = float(self.weights[slots(text)].sum(dtype=np.float64) + self.weights[-1])
+        heavy = self.heavy
+        z = self.intercept + sum(heavy[k] for k in sorted(self.slots(text)))
         return 1 / (1 + float(np.exp(-min(max(z, -500.0), 500.0))))
 
 
@@ -222,10 +245,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, Voters, LabelMo
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # of copies one counts, so that no group of them makes a voter
+    # of copies one counts, so that no group of them makes a voter; LABELLED ids at most are broadcast, so no text moves
     copies = texts.select("doc_id", F.xxhash64("text").alias("copy")).join(known, "doc_id")
-    ones = copies.groupBy("copy").agg(F.max("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic")
-    voters, balance = find_voters(cut(texts.join(ones, "doc_id").select("text", "toxic")))
+    ones = copies.groupBy("copy").agg(F.max("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    ones = cut(ones.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(LABELLED).select("doc_id", "toxic"))
+    voters, balance = find_voters(texts.join(F.broadcast(ones), "doc_id").select("text", "toxic"))
     m = voters.m
 
     def count_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, Voters, LabelMo
     def learn(_key, cell):
         ordered = cell.sort_by("digest").column("text").to_pylist()
         votes = np.array([voters.vote(t) for t in ordered], np.float64).reshape(-1, m)
-        weights = train([slots(t) for t in ordered], model.posterior(votes))
+        slots = PerWord(lambda w: map(slot, word_features(w)))
+        weights = train([sorted(slots(t)) for t in ordered], model.posterior(votes))
         at = np.flatnonzero(weights)
         return pa.table({"k": at, "w": weights[at].astype(np.float64)})
 
