@@ -31,7 +31,7 @@ from .common import cut
 #: Folds by crc32 of the id, of which the first is held out.
 FOLDS = 5
 #: Voters of each kind at most; least number, and share of all, of labelled toxic texts behind one; its least precision.
-VOTERS, SUPPORT, SHARE, PRECISION = 60, 8, 0.002, 0.97
+VOTERS, SUPPORT, SHARE, PRECISION = 60, 5, 0.002, 0.97
 #: Labelled documents that find the voters, and documents that train the classifier, at most; chosen by digests.
 LABELLED, TRAINED = 100_000, 16_000
 #: Slots of hashed features, passes and strength of the ridge in training, least number of texts with a feature.
