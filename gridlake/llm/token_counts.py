@@ -32,7 +32,8 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_flat(docs: DataFrame, folder: str, model: str, end_id: int, kind: str = "<u2") -> DataFrame:
-    """Write the documents' ids to flat files, in ascending doc_id order; returns (file, ordinal, doc_id) of what it wrote.
+    """Write the documents' ids to flat files, one a task, in the order in which the tasks read them; returns (file,
+    ordinal, doc_id) of what it wrote. No text is shuffled.
 
     A file is written under a name of its own and renamed when whole, so tasks may be run again or twice.
     """
@@ -56,10 +57,8 @@ def write_flat(docs: DataFrame, folder: str, model: str, end_id: int, kind: str
         else:
             store.delete_file(draft)
 
-    digest = F.xxhash64(F.coalesce("text", F.lit("")))
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", digest)
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    return cut(ordered.mapInArrow(run, f"file long, ordinal long, doc_id {id_kind}"))
+    return cut(docs.select("doc_id", "text").mapInArrow(run, f"file long, ordinal long, doc_id {id_kind}"))
 
 
 def count_flat(spark: SparkSession, folder: str, end_id: int, kind: str = "<u2", block: int = BLOCK) -> DataFrame:
@@ -109,8 +108,8 @@ def count_flat(spark: SparkSession, folder: str, end_id: int, kind: str = "<u2",
 def token_counts(docs: DataFrame, model: str, end_id: int, kind: str = "<u2") -> DataFrame:
     """doc_id, n_tokens, file and ordinal of every document, counted in flat files written to the shared folder.
 
-    Null texts count as empty: no tokens. Null doc_ids come first in the files, documents of one doc_id follow each
-    other. Other columns are not read, and an empty table gives an empty result.
+    Null texts count as empty: no tokens. Rows with a null or a repeated doc_id are documents of their own. Other columns
+    are not read, and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     folder = new_path(spark, "flat")
