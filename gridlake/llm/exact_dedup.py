@@ -61,7 +61,8 @@ def groups(docs: DataFrame, identifiers=IDENTIFIERS, least: int = LEAST, most: i
     )
     # a copy's row number is taken from the materialised rows, so it is the same in both uses
     top = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("group_size"))
-    many = top.where("group_size > 1").select(F.col("recipe").alias("same"), "top", "group_size")
+    # a table of its own, so that the join may split the rows of a large group
+    many = cut(top.where("group_size > 1").select(F.col("recipe").alias("same"), "top", "group_size"))
     joined = rows.join(many, F.col("recipe") == F.col("same"), "left")
     alone = F.col("group_size").isNull()
     return joined.select(
