@@ -15,6 +15,7 @@ import base64
 import functools
 import hashlib
 import json
+import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -167,6 +168,10 @@ class LibraryMerges:
             raise ValueError(f"{path} is no byte-level model without prefix spaces")
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        added = known.get("added_tokens") or []
+        if known.get("normalizer") or any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path} normalizes texts or has added tokens that depend on what surrounds them")
+        self.added = {t["content"]: t["id"] for t in added}
         vocabulary = known["model"]["vocab"]
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte is one character in these files
         for token, number in vocabulary.items():
@@ -321,6 +326,16 @@ class Encoder:
                 yield ids[own[0] : own[-1]], own - own[0]
             at = stop
 
+    def encode_with_added(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """For each text its ids as the library gives them: the model's added tokens in it are ids of their own."""
+        added = self.merges.added
+        literal = "|".join(map(re.escape, sorted(added, key=len, reverse=True)))  # the longest of those at one place
+        split = [re.split(f"({literal})", t) if added else [t] for t in texts]  # texts between, tokens at odd places
+        coded = self.encode([part for parts in split for part in parts[::2]])
+        for parts in split:
+            ids = [np.array([added[p]], np.uint32) if k % 2 else next(coded)[0] for k, p in enumerate(parts)]
+            yield ids[0] if len(ids) == 1 else np.concatenate(ids)
+
 
 @functools.cache
 def encoder(kind: str, path: str) -> Encoder:

@@ -165,7 +165,8 @@ class Shard:
 def write(docs: DataFrame, path: str, model: str, end_id: int = 0, shard_ids: int = SHARD_IDS) -> None:
     """Encode ``docs`` in ascending doc_id order (null ids first), append ``end_id`` to each and write shards to ``path``.
 
-    Null texts count as empty: the end id alone. Documents that share a doc_id follow each other, ordered by a digest of
+    Ids are those of the library as loaded: the model's added tokens in a text are their own ids. Null texts count as
+    empty: the end id alone. Documents that share a doc_id follow each other, ordered by a digest of
     their text. Other columns are not read; an empty table writes a dataset without shards.
     """
 
@@ -182,7 +183,7 @@ def write(docs: DataFrame, path: str, model: str, end_id: int = 0, shard_ids: in
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
                 texts = [t or "" for t in some.column("text").to_pylist()]
-                for d, (ids, _) in zip(some.column("doc_id").to_pylist(), coder.encode(texts)):
+                for d, ids in zip(some.column("doc_id").to_pylist(), coder.encode_with_added(texts)):
                     doc_ids.append(d)
                     documents.append(np.concatenate([ids, end]))
                     size += len(ids) + 1
