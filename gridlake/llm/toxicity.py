@@ -3,15 +3,20 @@
 Voters. Lexicon voters are words, pattern voters are word beginnings and the shape of a text (marks, digits); the
 former are found in the labelled texts of the training fold alone. A voter votes toxic or clean, or abstains.
 
-Label model. Over all documents only the pairwise counts of votes are gathered (a matrix of fixed size, whatever the
-number of documents). From agreements the model estimates each voter's accuracy without labels: for three voters that
-are independent given the label, the products of their pairwise moments give each one's accuracy (triplets, median
-taken). The share of toxic texts is that of the training fold. Voters that agree beyond what their accuracies explain are correlated; one that hardly ever votes without
-broader ones repeats an opinion and weighs less. Votes, accuracies and weights give a posterior per document.
+Label model. Over all documents only the counts of votes and of pairs of votes are gathered (a matrix of fixed size,
+whatever the number of documents). A voter may be one-sided: it votes in one way or abstains, and abstaining tells
+something too. So the model works on the events that a voter votes: given the label these are independent but for
+correlations, hence the covariance of two is share * (1 - share) * d_i * d_j, where d is by how much a voter votes more
+often on toxic texts than on clean ones. Three covariances give each d without labels (triplets, the median of many is
+taken), d and the voter's rate give its rates on both classes, and so its precision. The share of toxic texts is that
+of the training fold. What the covariance of two voters has beyond that product is their correlation; voters that are
+correlated are left out of each other's triplets and share one voice. Votes and abstentions, rates and weights give a
+posterior per document.
 
 Classifier. A logistic regression over words and word beginnings is trained on the posteriors of a bounded sample of
 documents, then scores every whole text. What it knows comes from the training fold's labels, through the voters;
-labels, language, source and id never are inputs of a score.
+labels, language, source and id never are inputs of a score. Texts become hashed features where they lie; what is
+gathered for the training are the few features that tell the classes apart.
 """
 
 from __future__ import annotations
@@ -35,11 +40,16 @@ VOTERS, SUPPORT, SHARE, PRECISION = 60, 5, 0.002, 0.97
 #: Labelled documents that find the voters, and documents that train the classifier, at most; chosen by digests.
 LABELLED, TRAINED = 100_000, 16_000
 #: Slots of hashed features, passes and strength of the ridge in training, least number of texts with a feature.
-SLOTS, PASSES, RIDGE, RARE = 1 << 18, 200, 1e-4, 3
-#: Standard deviations by which a feature's share of toxic texts must leave the average, to be trained on.
-SCREEN = 4.0
-#: Words whose slots a worker remembers.
-WORDS = 1 << 18
+SLOTS, PASSES, RIDGE, RARE = 1 << 18, 200, 1e-4, 8
+#: Standard deviations by which a feature's share of toxic texts must leave the average, to be trained on; most such
+#: features that are trained on, those that leave it most.
+SCREEN, FEATURES = 6.0, 4096
+#: Standard deviations from which a covariance counts, partners of a voter in its triplets, rounds of setting apart
+#: correlated voters, correlation from which two are never in one triplet, and from which they share a voice, precision
+#: of a voter that has neither triplet nor prior, weight of a prior as the inverse of a relative variance.
+SURE, PARTNERS, ROUNDS, COPIED, TIED, DEFAULT, PRIOR = 4.0, 16, 4, 0.5, 0.1, 0.8, 400.0
+#: Words whose slots a worker remembers, different features it counts before it passes them on.
+WORDS, COUNTED = 1 << 17, 1 << 17
 #: Characters of the word beginnings.
 STEMS = (4, 5, 6)
 #: Voters on the shape of a text: marks, digits, and the share of characters above which they vote clean.
@@ -97,23 +107,26 @@ class PerWord:
 
 
 class Voters:
-    """Lexicon and stem voters, voters on shape, and a background voter."""
+    """Lexicon and stem voters, which vote toxic or abstain, and voters on shape, which vote clean or abstain."""
 
-    def __init__(self, names: list[str]):
+    def __init__(self, names: list[str], precision: list[float] = ()):
         self.at = at = {name: i for i, name in enumerate(names)}
-        self.m = len(names) + len(SHAPES) + 1
+        self.prior = np.array([*precision, *[DEFAULT] * (len(names) - len(precision)), *[0.0] * len(SHAPES)])
+        self.m = len(names) + len(SHAPES)
+        self.sides = np.array([1] * len(names) + [-1] * len(SHAPES))
         self.hits = PerWord(lambda w: [at[x] for x in word_features(w) if x in at])
 
     def vote(self, text: str) -> np.ndarray:
-        """1 toxic, -1 clean, 0 abstain; the last voter calls clean what no lexicon or stem voter calls toxic."""
-        out = np.zeros(self.m, np.int8)
-        hits = list(self.hits(text))
-        out[hits] = 1
+        """True where a voter votes, false where it abstains."""
+        out = np.zeros(self.m, bool)
+        out[list(self.hits(text))] = True
         for k, (kind, share) in enumerate(SHAPES):
-            out[len(self.at) + k] = -int(len(kind.findall(text)) > share * len(text))
-        out[-1] = 0 if hits else -1
+            out[len(self.at) + k] = len(kind.findall(text)) > share * len(text)
         return out
 
+    def votes(self, texts: list[str]) -> np.ndarray:
+        return np.array([self.vote(t) for t in texts], bool).reshape(-1, self.m)
+
 
 def choose_voters(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, most: int = VOTERS, precision: float = PRECISION) -> Voters:
     """The features that mark toxic texts best, ``most`` words and ``most`` beginnings, by counts of texts with them.
@@ -124,9 +137,10 @@ def choose_voters(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_
     for x, c in toxic.items():
         rate, other = c / max(1, n_toxic), clean.get(x, 0)
         if rate / (rate + other / max(1, n_clean)) >= precision and c / (c + other) >= precision:
-            good.append((-c * float(np.log(rate / ((other + 0.5) / (n_clean + 1)))), x))
+            good.append((-c * float(np.log(rate / ((other + 0.5) / (n_clean + 1)))), x, (c + 0.5) / (c + other + 1)))
     good.sort()
-    return Voters([x for _, x in good if x[-1] != "*"][:most] + [x for _, x in good if x[-1] == "*"][:most])
+    chosen = [g for g in good if g[1][-1] != "*"][:most] + [g for g in good if g[1][-1] == "*"][:most]
+    return Voters([x for _, x, _ in chosen], [p for _, _, p in chosen])
 
 
 def find_voters(training: DataFrame) -> tuple[Voters, float]:
@@ -150,7 +164,7 @@ def find_voters(training: DataFrame) -> tuple[Voters, float]:
                 for t in batch.column("text"):
                     for x in features(t.as_py()) if wanted is None else wanted.intersection(features(t.as_py())):
                         found[x] = found.get(x, 0) + 1
-                if len(found) > 1 << 20:
+                if len(found) > COUNTED:
                     yield out()
                     found.clear()
             yield out()
@@ -164,62 +178,101 @@ def find_voters(training: DataFrame) -> tuple[Voters, float]:
 
 
 class LabelModel:
-    """Accuracies and correlations of voters from the counts of their votes."""
-
-    def __init__(self, one: np.ndarray, both: np.ndarray, agree: np.ndarray, balance: float = 0.5):
-        """``one``: votes of each voter; ``both``, ``agree``: documents where two vote, and the sum of their products;
-        ``balance``: share of toxic texts."""
-        self.balance = min(max(balance, 0.01), 0.5)
-        m = len(one)
-        moment = np.where(both >= 20, agree / np.maximum(both, 1), np.nan)
-        usable = np.isfinite(moment) & (np.abs(np.nan_to_num(moment)) > 0.01)
-        accuracy = np.full(m, 0.8)
-        for i in range(m):
-            rest = sorted((j for j in range(m) if j != i and usable[i, j]), key=lambda j: -both[i, j])[:16]
-            found = [abs(moment[i, j] * moment[i, k] / moment[j, k]) for j, k in combinations(rest, 2) if usable[j, k]]
-            if found:
-                accuracy[i] = (1 + min(1.0, np.sqrt(np.median(found)))) / 2
-        self.accuracy = np.clip(accuracy, 0.55, 0.99)
-        strength = 2 * self.accuracy - 1
-        excess = np.where(np.isfinite(moment), moment - np.outer(strength, strength), 0.0)
-        inside = both / np.maximum(1, one)[:, None] > 0.9
-        tied = inside & (excess > 0.005) & (one[None, :] >= one[:, None])
-        np.fill_diagonal(tied, False)
-        self.correlated = tied
-        self.weight = 1.0 / (1 + tied.sum(axis=1))
+    """Rates, precisions and correlations of voters from the counts of their votes."""
+
+    def __init__(self, n: int, votes: np.ndarray, both: np.ndarray, sides: np.ndarray, balance: float = 0.5, prior: np.ndarray | None = None):
+        """``n`` documents; ``votes`` of each voter; ``both``: documents where two vote; ``sides``: 1 for voters that
+        vote toxic, -1 for those that vote clean; ``balance``: share of toxic texts; ``prior``: precisions known
+        beforehand, which count beside the triplets, and alone for voters that agree with too few others
+        (one no better than chance has no voice)."""
+        self.balance = share = min(max(balance, 0.01), 0.5)
+        n, m = max(n, 1), len(votes)
+        rate = votes / n
+        covariance = both / n - np.outer(rate, rate)
+        deviation = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
+        agreeing = covariance * np.outer(sides, sides)
+        sure = agreeing * np.sqrt(n) / np.outer(deviation, deviation)
+        usable = sure > SURE
+        united = votes[:, None] + votes[None, :] - both
+        tied = both > 0.9 * np.maximum(united, 1)  # two that nearly always vote together are one opinion to begin with
+        for x in (usable, tied):
+            np.fill_diagonal(x, False)
+        scale = share * (1 - share)
+        doubt = 1 / np.maximum(sure, 1e-9) ** 2
+        # a voter can't hit more texts of its class than it votes on
+        own_share = np.where(sides > 0, share, 1 - share)
+        most = np.minimum(rate / own_share, 1 - rate)
+        given = np.full(m, DEFAULT) if prior is None else np.asarray(prior, float)
+        strength = 0.0 if prior is None else PRIOR
+        assumed = np.clip((given - own_share) / (1 - own_share), 0, 1) * most
+        for _ in range(ROUNDS):
+            apart = assumed.copy()
+            for i in range(m):
+                rest = np.flatnonzero(usable[i] & ~tied[i])
+                rest = rest[np.lexsort((rest, doubt[i, rest]))[:PARTNERS]].tolist()
+                found = [(doubt[i, j] + doubt[i, k] + doubt[j, k], agreeing[i, j] * agreeing[i, k] / agreeing[j, k]) for j, k in combinations(rest, 2) if usable[j, k] and not tied[j, k]]
+                if found:  # the surer half of the triplets
+                    found = sorted(found)[: (len(found) + 1) // 2]
+                    own = min(np.sqrt(np.median([x for _, x in found]) / scale), most[i])
+                    sure_of_it = 4 / found[len(found) // 2][0]  # of a root its relative variance is a quarter
+                    apart[i] = (sure_of_it * own + strength * assumed[i]) / (sure_of_it + strength)
+            apart *= sides
+            toxic, clean = rate + (1 - share) * apart, rate - share * apart
+            inside = np.sqrt(np.maximum(share * toxic * (1 - toxic) + (1 - share) * clean * (1 - clean), 1e-12))
+            rest_ = (covariance - scale * np.outer(apart, apart)) / np.outer(inside, inside)
+            np.fill_diagonal(rest_, 0)
+            now = np.abs(rest_) > COPIED
+            if (now == tied).all():
+                break
+            tied = now
+        least = 0.5 / n
+        self.toxic, self.clean = np.clip(toxic, least / share, 1 - least / share), np.clip(clean, least / (1 - share), 1 - least)
+        even = np.abs(apart) < 1e-12
+        self.toxic[even] = self.clean[even] = np.clip(rate[even], least, 1 - least)
+        own = np.where(sides > 0, share * self.toxic, (1 - share) * self.clean)
+        self.precision = own / (share * self.toxic + (1 - share) * self.clean)
+        self.correlated = np.abs(rest_) > np.maximum(TIED, SURE / np.sqrt(n))
+        self.correlation = np.clip(np.where(self.correlated, rest_, 0.0), 0, 1)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probability of toxic for rows of votes."""
-        step = self.weight * np.log(self.accuracy / (1 - self.accuracy))
-        return 1 / (1 + np.exp(-(votes @ step + np.log(self.balance / (1 - self.balance)))))
+        """Probability of toxic for rows of votes (true or 1: votes, else it abstains).
+
+        Of the voters that vote on a text those that are correlated share a voice, and so do those that abstain: a vote
+        counts for one by one plus its correlations with the others' votes. A vote that stands alone counts in full.
+        """
+        votes = votes.astype(float)
+        voted = votes * np.log(self.toxic / self.clean) / (1 + votes @ self.correlation)
+        silent = (1 - votes) * np.log((1 - self.toxic) / (1 - self.clean)) / (1 + (1 - votes) @ self.correlation)
+        z = (voted + silent).sum(axis=1) + np.log(self.balance / (1 - self.balance))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
 
+def screen(n: np.ndarray, toxic: np.ndarray, rows: int, mean: float, most: int = FEATURES) -> np.ndarray:
+    """Slots to train on, ascending: ``n`` texts have one, their targets add up to ``toxic``; ``mean`` is that of all
+    ``rows`` texts. One that is in fewer than RARE texts, or whose mean target is what chance would give, stays out."""
+    mean = min(max(mean, 1e-6), 1 - 1e-6)
+    away = np.abs(toxic - n * mean) / np.sqrt(np.maximum(n, 1) * mean * (1 - mean))
+    good = np.flatnonzero((n >= RARE) & (away >= SCREEN))
+    return np.sort(good[np.lexsort((good, -away[good]))[:most]]) if rows else good[:0]
 
-def train(rows: list[list[int]], target: np.ndarray, passes: int = PASSES, ridge: float = RIDGE) -> np.ndarray:
+
+def train(flat: np.ndarray, sizes: np.ndarray, target: np.ndarray, features: int, passes: int = PASSES, ridge: float = RIDGE) -> np.ndarray:
     """Weights (and last the intercept) of a logistic regression on soft labels, by full-batch Adam steps.
 
-    Features are screened by themselves first: one that is in fewer than RARE rows, or whose mean target is what chance
-    would give, stays at zero. Both classes weigh alike in the loss.
+    Row i has the ``sizes[i]`` next features of ``flat``. The rarer class weighs more, by the square root of its rarity.
     """
-    sizes = np.array([len(r) for r in rows], np.int64)
-    flat = np.fromiter((x for r in rows for x in r), np.int64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    n, mean = np.bincount(flat, minlength=SLOTS), min(max(float(target.mean()), 1e-6), 1 - 1e-6) if len(rows) else 0.5
-    away = np.bincount(flat, target[owner], SLOTS) - n * mean
-    kept = ((n >= RARE) & (np.abs(away) >= SCREEN * np.sqrt(np.maximum(n, 1) * mean * (1 - mean))))[flat]
-    owner = owner[kept]
-    used, flat = np.unique(flat[kept], return_inverse=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     toxic = target > 0.5
-    cost = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))
-    w, first, second = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    cost = np.where(toxic, 1 / np.sqrt(max(1, toxic.sum())), 1 / np.sqrt(max(1, (~toxic).sum())))
+    cost /= max(cost.sum(), 1e-12)
+    w, first, second = np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1)
     for t in range(1, passes + 1):
-        z = np.bincount(owner, w[flat], len(rows)) + w[-1]
+        z = np.bincount(owner, w[flat], len(sizes)) + w[-1]
         error = cost * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
-        grad = np.append(np.bincount(flat, error[owner], len(used)) + ridge * w[:-1], error.sum())
+        grad = np.append(np.bincount(flat, error[owner], features) + ridge * w[:-1], error.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         w -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-    out = np.zeros(SLOTS + 1, np.float32)
-    out[used], out[-1] = w[:-1], w[-1]
-    return out
+    return w
 
 
 class Classifier:
@@ -237,54 +290,105 @@ class Classifier:
         return 1 / (1 + float(np.exp(-min(max(z, -500.0), 500.0))))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, Voters, LabelModel]:
-    """Learn from the labels of the training fold and from the votes on all of ``docs``.
-
-    Labels with a null doc_id or class are passed over; of several labels of one document the greatest counts.
-    """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # of copies one counts, so that no group of them makes a voter; LABELLED ids at most are broadcast, so no text moves
-    copies = texts.select("doc_id", F.xxhash64("text").alias("copy")).join(known, "doc_id")
-    ones = copies.groupBy("copy").agg(F.max("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
-    ones = cut(ones.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(LABELLED).select("doc_id", "toxic"))
-    voters, balance = find_voters(texts.join(F.broadcast(ones), "doc_id").select("text", "toxic"))
+def count_votes(texts: DataFrame, voters: Voters) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of ``texts`` (column text), votes of each voter, and texts where two vote. What comes back is of fixed size."""
     m = voters.m
 
-    def count_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(m + 2 * m * m)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + m + m * m, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                votes = np.array([voters.vote(t) for t in batch.column("text").slice(at, 1024).to_pylist()], np.float64).reshape(-1, m)
-                cast = np.abs(votes)
-                total += np.concatenate([cast.sum(0), (cast.T @ cast).ravel(), (votes.T @ votes).ravel()])
+                votes = voters.votes(batch.column("text").slice(at, 1024).to_pylist())
+                some = votes[votes.any(axis=1)].astype(np.float32)  # exact: at most 1024
+                total += np.concatenate([[len(votes)], some.sum(0), (some.T @ some).ravel()]).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "v"])
 
-    sums = np.zeros(m + 2 * m * m)
-    for k, v in texts.select("text").mapInArrow(count_votes, "k long, v double").groupBy("k").agg(F.sum("v")).collect():  # of fixed size
+    sums = np.zeros(1 + m + m * m, np.int64)
+    for k, v in texts.select("text").mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum("v")).collect():
         sums[k] = v
-    model = LabelModel(sums[:m], *sums[m:].reshape(2, m, m), balance)
+    return int(sums[0]), sums[1 : m + 1], sums[m + 1 :].reshape(m, m)
 
-    # the classifier learns from posteriors, of training-fold documents only, so held-out texts stay unseen
-    pool = texts.where(~held_out(F.col("doc_id"))).select("text", F.xxhash64(F.lit(13), "text").alias("digest"))
-    if pool.count() > TRAINED:
-        last = pool.select("digest").orderBy("digest").limit(TRAINED).agg(F.max("digest")).first()[0]
-        pool = pool.where(F.col("digest") <= last).orderBy("digest").limit(TRAINED)
-
-    def learn(_key, cell):
-        ordered = cell.sort_by("digest").column("text").to_pylist()
-        votes = np.array([voters.vote(t) for t in ordered], np.float64).reshape(-1, m)
+
+def learn(texts: DataFrame, voters: Voters, model: LabelModel, trained: int = TRAINED) -> np.ndarray:
+    """Weights of the classifier, from the posteriors of ``texts`` (doc_id, text): of ``trained`` different ones at most,
+    those of least digest. One task gets ``trained`` rows of at most FEATURES numbers, never a text."""
+    pool = texts.select("doc_id", "text", F.xxhash64(F.lit(13), "text").alias("digest"))
+    ones = pool.groupBy("digest").agg(F.max("doc_id").alias("doc_id")).orderBy("digest").limit(trained)
+    ones = F.broadcast(ones.select(F.col("digest").alias("d"), F.col("doc_id").alias("i")))
+
+    def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = PerWord(lambda w: map(slot, word_features(w)))
-        weights = train([sorted(slots(t)) for t in ordered], model.posterior(votes))
-        at = np.flatnonzero(weights)
-        return pa.table({"k": at, "w": weights[at].astype(np.float64)})
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                some = part.column("text").to_pylist()
+                target = pa.array(model.posterior(voters.votes(some)))
+                found = pa.array([np.array(sorted(slots(t)), "<u4").tobytes() for t in some], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("digest"), target, found], names=["digest", "target", "slots"])
+
+    chosen = pool.join(ones, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i")))
+    rows = chosen.select("digest", "text").mapInArrow(slotted, "digest long, target double, slots binary")
+    rows = cut(rows.dropDuplicates(["digest"]))  # of rows that repeat id and text one
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, toxic = np.zeros(SLOTS, np.int64), np.zeros(SLOTS)
+        for batch in batches:
+            for target, found in zip(batch.column("target").to_pylist(), batch.column("slots")):
+                k = np.frombuffer(found.as_py(), "<u4")
+                n[k] += 1
+                toxic[k] += target
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(toxic[at])], names=["k", "n", "toxic"])
+
+    n, toxic = np.zeros(SLOTS, np.int64), np.zeros(SLOTS)
+    sums = rows.mapInArrow(counted, "k long, n long, toxic double").groupBy("k").agg(F.sum("n").alias("n"), F.round(F.sum("toxic"), 6).alias("toxic"))
+    sums = sums.toArrow()  # SLOTS rows at most
+    at = sums.column("k").to_numpy()
+    n[at], toxic[at] = sums.column("n").to_numpy(), sums.column("toxic").to_numpy()
+    count, mean = rows.agg(F.count(F.lit(1)), F.round(F.avg("target"), 9)).first()
+    used = screen(n, toxic, count, mean or 0.5)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(SLOTS, -1)
+        number[used] = np.arange(len(used))
+        for batch in batches:
+            own = [number[np.frombuffer(s.as_py(), "<u4")] for s in batch.column("slots")]
+            slim = pa.array([x[x >= 0].astype("<u2").tobytes() for x in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("target"), slim], names=["digest", "target", "slots"])
+
+    def fitted(_key, cell):
+        ordered = cell.sort_by("digest")
+        own = [np.frombuffer(s.as_py(), "<u2") for s in ordered.column("slots")]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        w = train(np.concatenate(own), sizes, ordered.column("target").to_numpy(), len(used))
+        return pa.table({"k": pa.array([*used.tolist(), SLOTS], pa.int64()), "w": w})
 
     weights = np.zeros(SLOTS + 1, np.float32)  # one bounded group, on an executor; the driver gets the weights
-    learned = pool.groupBy(F.lit(0).alias("one")).applyInArrow(learn, "k long, w double").toArrow()
+    slim = rows.mapInArrow(kept, "digest long, target double, slots binary")
+    learned = slim.groupBy(F.lit(0).alias("one")).applyInArrow(fitted, "k long, w double").toArrow()
     weights[learned.column("k").to_numpy()] = learned.column("w").to_numpy()
-    return Classifier(weights), voters, model
+    return weights
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, trained: int = TRAINED) -> tuple[Classifier, Voters, LabelModel]:
+    """Learn from the labels of the training fold and from the votes on all of ``docs``.
+
+    Voters come from ``labelled`` different labelled texts at most, the classifier from ``trained`` different texts of
+    the training fold at most. Labels with a null doc_id or class are passed over; of several labels of one document the
+    greatest counts.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # of copies one counts, so that no group of them makes a voter; ``labelled`` ids at most are broadcast, so no text moves
+    copies = texts.select("doc_id", F.xxhash64("text").alias("copy")).join(known, "doc_id")
+    ones = copies.groupBy("copy").agg(F.max("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    ones = cut(ones.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(labelled).select("doc_id", "toxic"))
+    voters, balance = find_voters(texts.join(F.broadcast(ones), "doc_id").select("text", "toxic"))
+    model = LabelModel(*count_votes(texts, voters), voters.sides, balance, voters.prior)
+    # the classifier learns from posteriors, of training-fold documents only, so held-out texts stay unseen
+    return Classifier(learn(texts.where(~held_out(F.col("doc_id"))), voters, model, trained)), voters, model
 
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:

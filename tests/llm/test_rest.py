@@ -95,16 +95,118 @@ def test_toxicity_without_labels_or_rows(frame):
     assert toxicity.toxicity(frame([], "doc_id long, text string"), frame([], "doc_id long, toxic int")).count() == 0
 
 
-def test_label_model_finds_accuracies():
-    draw = np.random.default_rng(0)
-    truth = np.where(draw.random(40000) < 0.3, 1, -1)
-    accuracy = np.array([0.9, 0.8, 0.7, 0.85, 0.75])
-    votes = np.where(draw.random((40000, 5)) < accuracy, truth[:, None], -truth[:, None]) * (draw.random((40000, 5)) < 0.6)
-    votes = np.column_stack([votes, votes[:, 0]])  # a voter that repeats another
-    cast = np.abs(votes)
-    model = toxicity.LabelModel(cast.sum(0), cast.T @ cast, votes.T @ votes, 0.3)
-    assert np.abs(model.accuracy[1:5] - accuracy[1:]).max() < 0.05
-    assert model.correlated[0, 5] and model.correlated[5, 0] and model.weight[0] == 0.5 and not model.correlated[1:5, 1:5].any()
+def one_sided(n, share, precision, cover, seed=0):
+    """Labels, and votes of voters that vote toxic or abstain, with the given precision and share of texts voted on."""
+    draw = np.random.default_rng(seed)
+    toxic = draw.random(n) < share
+    votes = [draw.random(n) < np.where(toxic, c * p / share, c * (1 - p) / (1 - share)) for p, c in zip(precision, cover)]
+    return toxic, votes, draw
+
+
+def counted(votes):
+    x = votes.astype(float)
+    return len(votes), votes.sum(0), (x.T @ x).astype(int)
+
+
+def test_label_model_finds_one_sided_precisions_and_correlations():
+    precision = [0.93, 0.72, 0.47, 0.30, 0.18, 0.92]
+    toxic, votes, draw = one_sided(200_000, 0.1, precision, [0.05, 0.06, 0.08, 0.1, 0.1, 0.04])
+    votes.append(votes[0] & (draw.random(len(toxic)) < 0.95))  # a voter that repeats another
+    votes = np.array(votes).T
+    model = toxicity.LabelModel(*counted(votes), np.ones(7), 0.1)
+    assert np.abs(model.precision - [*precision, 0.93]).max() < 0.05
+    pairs = np.argwhere(model.correlated).tolist()
+    assert pairs == [[0, 6], [6, 0]] and model.correlation[0, 6] > 0.9
+    posterior = model.posterior(votes)
+    for low, high in ((0, 0.05), (0.05, 0.2), (0.2, 0.5), (0.5, 0.9), (0.9, 1)):  # what it says comes true
+        some = (posterior > low) & (posterior <= high)
+        assert abs(posterior[some].mean() - toxic[some].mean()) < 0.05
+    alone = model.posterior(np.eye(7, dtype=bool))
+    assert (np.diff(alone[[4, 3, 2, 1, 0]]) > 0.02).all()  # voters differ, in the order of their precisions
+    repeated, independent = model.posterior(np.array([[1, 0, 0, 0, 0, 0, 1], [1, 0, 0, 0, 0, 1, 1]]))
+    assert independent > repeated + 0.1  # a repeated opinion adds little, another one much
+
+
+def test_label_model_of_voters_for_both_sides():
+    draw = np.random.default_rng(1)
+    toxic = draw.random(200_000) < 0.3
+    rates = [(0.5, 0.02), (0.4, 0.05), (0.3, 0.1), (0.1, 0.4), (0.05, 0.3)]
+    votes = np.array([draw.random(len(toxic)) < np.where(toxic, a, b) for a, b in rates]).T
+    model = toxicity.LabelModel(*counted(votes), np.array([1, 1, 1, -1, -1]), 0.3)
+    assert np.abs(model.toxic - [a for a, _ in rates]).max() < 0.03 and np.abs(model.clean - [b for _, b in rates]).max() < 0.03
+
+
+def test_label_model_without_evidence_keeps_the_prior():
+    model = toxicity.LabelModel(0, np.zeros(2, int), np.zeros((2, 2), int), np.array([1, -1]), 0.2, np.array([0.9, 0.0]))
+    assert np.isfinite(model.posterior(np.array([[0, 0], [1, 1]]))).all()
+    few = toxicity.LabelModel(1000, np.array([10, 30]), np.array([[10, 1], [1, 30]]), np.array([1, -1]), 0.2, np.array([0.9, 0.0]))
+    assert abs(few.precision[0] - 0.9) < 0.01 and few.toxic[1] == few.clean[1]
+    assert toxicity.LabelModel(5, np.zeros(0, int), np.zeros((0, 0), int), np.zeros(0), 0.2).posterior(np.zeros((1, 0))).tolist() == [pytest.approx(0.2)]
+
+
+def test_votes_are_counted_as_by_hand(frame, corpus):
+    rows, _ = corpus
+    voters = toxicity.Voters(["nastyword", "blastard", "zorg*", "zorgl*"], [0.9, 0.9, 0.8, 0.8])
+    texts = [t for _, t, *_ in rows] + ["", "!!! 1234 ???", "nastyword!!!!!!!!! zorglethe"]
+    n, votes, both = toxicity.count_votes(frame([(t,) for t in texts], "text string").repartition(3), voters)
+    plain = []
+    for t in texts:
+        w = set(t.lower().split()) | {x for x in t.lower().replace("!", " ").split()}
+        stems = {x[:k] for x in w for k in (4, 5) if len(x) > k}
+        marks, digits = sum(c in "!?" for c in t), sum(c.isdigit() for c in t)
+        plain.append(["nastyword" in w, "blastard" in w, "zorg" in stems, "zorgl" in stems, marks > 0.15 * len(t), digits > 0.15 * len(t)])
+    plain = np.array(plain)
+    assert n == len(texts) and votes.tolist() == plain.sum(0).tolist() and both.tolist() == (plain[:, :, None] & plain[:, None, :]).sum(0).tolist()
+
+
+def test_training_follows_the_gradient():
+    draw = np.random.default_rng(2)
+    dense = draw.random((60, 5)) < 0.4
+    target = np.clip(0.2 + 0.6 * dense[:, 0] + 0.1 * draw.random(60), 0, 1)
+    sizes = dense.sum(1)
+    flat = np.concatenate([np.flatnonzero(r) for r in dense])
+    got = toxicity.train(flat, sizes, target, 5, passes=400)
+    x = np.column_stack([dense, np.ones(60)])
+    toxic = target > 0.5
+    cost = np.where(toxic, toxic.sum() ** -0.5, (~toxic).sum() ** -0.5)
+    cost /= cost.sum()
+    w = np.zeros(6)
+    for _ in range(60_000):  # plain gradient descent on the same loss
+        w -= 0.5 * (x.T @ (cost * (1 / (1 + np.exp(-x @ w)) - target)) + 1e-4 * np.append(w[:-1], 0))
+    assert np.abs(got - w).max() < 0.05
+
+
+def test_screen_keeps_what_tells_the_classes_apart():
+    n = np.array([0, 7, 20, 100, 100, 100])
+    toxic = np.array([0, 7, 20, 10, 60, 100.0])
+    assert toxicity.screen(n, toxic, 1000, 0.1).tolist() == [2, 4, 5]  # too rare, and no different from all, stay out
+    assert toxicity.screen(n, toxic, 1000, 0.1, most=1).tolist() == [5]
+    assert toxicity.screen(n, toxic, 0, 0.1).tolist() == []
+
+
+def test_scores_are_those_of_the_weights(frame, corpus):
+    rows, labels = corpus
+    docs = frame(rows, "doc_id long, text string, lang string, source string")
+    classifier, _, _ = toxicity.fit(docs, frame(labels, "doc_id long, toxic int"), trained=200)
+    assert np.count_nonzero(classifier.weights) > 1
+    for r in toxicity.score(docs, classifier).collect()[:100]:
+        z = sum(float(classifier.weights[k]) for k in {toxicity.slot(x) for x in toxicity.features(rows[r.doc_id][1])})
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z - float(classifier.weights[-1]))))
+
+
+def test_toxicity_of_odd_tables(frame, corpus):
+    """Repeated rows, a very long text, a group of copies that is a third of all rows, columns named as the result's."""
+    rows, labels = corpus
+    texts = [(i, t) for i, t, *_ in rows] + [(0, rows[0][1])] * 2 + [(7000, " ".join(t for _, t, *_ in rows) * 5)]
+    texts += [(8000 + i, rows[1][1]) for i in range(450)]
+    docs = frame([(i, t, 0.5, True, "x") for i, t in texts], "doc_id long, text string, score double, held_out boolean, predicted string")
+    got = toxicity.toxicity(docs, frame(labels, "doc_id long, toxic int")).collect()
+    assert len(got) == len(texts) and len({r.score for r in got if r.doc_id == 0}) == 1
+    truth = dict(labels)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in got if r.doc_id in truth]) > 0.97
+    assert {r.predicted for r in got if 8000 <= r.doc_id} == {truth[1]}
+    kept = toxicity.clean(docs, frame(labels, "doc_id long, toxic int"))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.predicted}
 
 
 def brute_targets(sizes, weights, most):
