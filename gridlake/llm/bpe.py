@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: Codepoints scanned at a time (a single longer text is scanned whole), rows made at a time.
 BATCH, ROWS = 1 << 18, 512
 #: A worker's cache has two to this many slots.
-CACHE_BITS = 21
+CACHE_BITS = 20
 #: Unicode's White_Space property.
 WHITE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
@@ -194,19 +194,18 @@ class LibraryMerges:
         return out
 
 
-_ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
+_ODD = 0x9E3779B97F4A7C15
 
 
-@functools.lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, ...]:
-    """Powers of both multipliers and of their inverses modulo 2 ** 64."""
+@functools.lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2 ** 64."""
     out = []
-    for base in _ODD.tolist():
-        for x in (base, pow(base, -1, 1 << 64)):
-            row = np.full(n, x, np.uint64)
-            row[0] = 1
-            out.append(np.multiply.accumulate(row))
-    return tuple(out)
+    for x in (_ODD, pow(_ODD, -1, 1 << 64)):
+        row = np.full(n, x, np.uint64)
+        row[0] = 1
+        out.append(np.multiply.accumulate(row))
+    return out[0], out[1]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -215,94 +214,118 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _equal(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which stretches of ``n`` (at least 1) codepoints are the same in ``x`` and ``y``."""
+    if not len(n):
+        return np.zeros(0, bool)
+    begin = np.cumsum(n) - n
+    offset = np.arange(int(n.sum())) - np.repeat(begin, n)
+    return ~np.logical_or.reduceat(x[np.repeat(x_at, n) + offset] != y[np.repeat(y_at, n) + offset], begin)
+
+
 class PieceCache:
     """From pieces to their ids, for whole batches at a time.
 
-    A piece is known by two independent 64-bit hashes of its codepoints, taken from prefix sums over the batch. Slots
-    are probed by arrays, so only pieces that are not held become strings and are merged. When half of the slots are
-    taken, or the ids fill their room, the cache starts anew: its memory is bounded, whatever the number of pieces.
+    A piece is looked up by a 64-bit hash of its codepoints, taken from prefix sums over the batch, and counts as held
+    only if its codepoints equal those that are kept beside the ids: colliding hashes cost time and can't change an id.
+    Slots are probed by arrays, so only pieces that are not held become strings and are merged. When half of the slots
+    are taken, or ids or codepoints fill their room, the cache starts anew: its memory is bounded, whatever the number
+    of pieces.
     """
 
     PROBES = 6
 
-    def __init__(self, merges, bits: int = CACHE_BITS, room: int = 1 << 23):
+    def __init__(self, merges, bits: int = CACHE_BITS, room: int = 1 << 22):
         self.merges, self.bits, self.room = merges, bits, room
         self._clear()
 
     def _clear(self) -> None:
         n = 1 << self.bits
-        self.a, self.b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        self.start, self.count = np.zeros(n, np.int32), np.zeros(n, np.int32)  # count 0: free
+        self.key = np.zeros(n, np.uint64)
+        self.start, self.count = np.zeros(n, np.int32), np.zeros(n, np.int32)  # of the ids; count 0: free
+        self.place, self.length = np.zeros(n, np.int32), np.zeros(n, np.int32)  # of the codepoints
         self.ids, self.used, self.held = np.zeros(1 << 16, np.uint32), 0, 0
+        self.code, self.written = np.zeros(1 << 16, np.uint32), 0
+
+    def _hashes(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        up, down = _powers(1 << max(16, int(len(code)).bit_length()))
+        sums = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum((code + np.uint32(1)) * down[: len(code)], out=sums[1:])
+        return _mixed((sums[at[1:]] - sums[at[:-1]]) * up[at[:-1]] + np.diff(at).astype(np.uint64))
 
-    def _hashes(self, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = 1 << max(16, int(len(code)).bit_length())
-        up_a, down_a, up_b, down_b = _powers(n)
-        out = []
-        for up, down in ((up_a, down_a), (up_b, down_b)):
-            sums = np.zeros(len(code) + 1, np.uint64)
-            np.cumsum((code + np.uint32(1)) * down[: len(code)], out=sums[1:])
-            out.append(_mixed((sums[at[1:]] - sums[at[:-1]]) * up[at[:-1]] + np.diff(at).astype(np.uint64)))
-        return out[0], out[1]
-
-    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _find(self, key: np.ndarray, code: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Slot of each piece, -1 if it is not held."""
         mask = (1 << self.bits) - 1
-        home = (a >> np.uint64(64 - self.bits)).astype(np.int64)
-        hit = (self.a[home] == a) & (self.b[home] == b) & (self.count[home] > 0)
-        slot = np.where(hit, home, -1)
-        open_ = np.flatnonzero(~hit)
-        for k in range(1, self.PROBES):
+        home = (key >> np.uint64(64 - self.bits)).astype(np.int64)
+        slot = np.full(len(key), -1)
+        open_ = np.arange(len(key))
+        for k in range(self.PROBES):
             if not len(open_):
                 break
             s = (home[open_] + k) & mask
-            hit = (self.a[s] == a[open_]) & (self.b[s] == b[open_]) & (self.count[s] > 0)
+            hit = (self.key[s] == key[open_]) & (self.length[s] == n[open_]) & (self.count[s] > 0)
+            some = np.flatnonzero(hit)
+            hit[some] = _equal(code, at[open_[some]], self.code, self.place[s[some]].astype(np.int64), n[open_[some]])
             slot[open_[hit]] = s[hit]
-            open_ = open_[~hit]
+            open_ = open_[~hit & (self.count[s] > 0)]  # beyond a free slot nothing of this home is held
         return slot
 
-    def _hold(self, a, b, start, count) -> None:
+    def _hold(self, key, start, count, place, length) -> None:
         mask = (1 << self.bits) - 1
-        home = (a >> np.uint64(64 - self.bits)).astype(np.int64)
-        left = np.arange(len(a))
+        home = (key >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(key))
         for k in range(self.PROBES):
             s = (home[left] + k) & mask
             free = np.flatnonzero(self.count[s] == 0)
             _, first = np.unique(s[free], return_index=True)
             put = free[first]
             i, j = left[put], s[put]
-            self.a[j], self.b[j], self.start[j], self.count[j] = a[i], b[i], start[i], count[i]
+            self.key[j], self.start[j], self.count[j], self.place[j], self.length[j] = key[i], start[i], count[i], place[i], length[i]
             self.held += len(put)
             left = np.delete(left, put)
 
+    def _append(self, name: str, used: int, more: np.ndarray) -> None:
+        store = getattr(self, name)
+        if used + len(more) > len(store):
+            store = np.concatenate([store[:used], np.zeros(max(len(store), len(more)), np.uint32)])
+            setattr(self, name, store)
+        store[used : used + len(more)] = more
+
     def encode(self, text: str, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, token offset of each piece and their number); ``at``: where the pieces begin and end."""
-        a, b = self._hashes(code, at)
-        slot = self._find(a, b)
+        key, length, begins = self._hashes(code, at), np.diff(at), at[:-1]
+        slot = self._find(key, code, begins, length)
         start, count = self.start[slot].astype(np.int64), self.count[slot].astype(np.int64)
         new = np.flatnonzero(slot < 0)
-        base, store = self.used, self.ids
+        base, full = self.used, False
         if len(new):
-            _, first, which = np.unique(a[new], return_index=True, return_inverse=True)
-            other = np.flatnonzero(b[new] != b[new[first]][which])  # pieces that share one hash only
+            _, first, which = np.unique(key[new], return_index=True, return_inverse=True)
+            like = new[first][which]  # of pieces with one hash the first one; those that differ from it are merged each
+            alike = length[new] == length[like]
+            some = np.flatnonzero(alike)
+            alike[some] = _equal(code, begins[new[some]], code, begins[like[some]], length[new[some]])
+            other = np.flatnonzero(~alike)
             which[other] = len(first) + np.arange(len(other))
             one = new[np.concatenate([first, other])]
-            made = self.merges.pieces([text[i:j] for i, j in zip(at[one].tolist(), at[one + 1].tolist())])
+            made = self.merges.pieces([text[i:j] for i, j in zip(begins[one].tolist(), at[one + 1].tolist())])
             n = np.fromiter(map(len, made), np.int64, len(made))
             flat = np.fromiter((x for m in made for x in m), np.uint32, int(n.sum()))
             begin = base + np.cumsum(n) - n
             start[new], count[new] = begin[which], n[which]
-            if base + len(flat) > len(store):
-                store = np.concatenate([store[:base], np.zeros(max(len(store), len(flat)), np.uint32)])
-            store[base : base + len(flat)] = flat
-            self.ids = store
-            if self.held + len(one) > (1 << self.bits) // 2 or base + len(flat) > self.room:
-                self._clear()
-            else:
-                self.used = base + len(flat)
-                self._hold(a[one], b[one], begin, n)
+            self._append("ids", base, flat)
+            size = length[one]
+            place = self.written + np.cumsum(size) - size
+            total = int(size.sum())
+            full = self.held + len(one) > (1 << self.bits) // 2 or max(base + len(flat), self.written + total) > self.room
+            if not full:
+                self._append("code", self.written, code[np.repeat(begins[one] - place + self.written, size) + np.arange(total)])
+                self.used, self.written = base + len(flat), self.written + total
+                self._hold(key[one], begin, n, place, size)
         ends = np.concatenate([[0], np.cumsum(count)])
-        return store[np.repeat(start - ends[:-1], count) + np.arange(ends[-1])], ends
+        out = self.ids[np.repeat(start - ends[:-1], count) + np.arange(ends[-1])]
+        if full:
+            self._clear()
+        return out, ends
 
 
 class Encoder:
