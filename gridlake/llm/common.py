@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -49,6 +50,16 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffles and checkpoints that no live DataFrame refers to any more.
+
+    Spark deletes their files once the driver's JVM has collected what refers to them, which in a long query with few
+    objects may not happen by itself; so it is asked to collect.
+    """
+    gc.collect()  # Python's handles first
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(frame: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``frame`` has it in any case."""
     taken = {c.lower() for c in frame.columns}

@@ -26,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, same
+from .common import cut, release, same
 
 #: Bytes of the strings, of the grams that anchor them, strings of a block.
 LENGTH, GRAM, STEP = 200, 32, 8
@@ -79,9 +80,13 @@ def _window_minima(key: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Runs of all strings of the texts: text number, start, number of strings, anchor's place in it, anchor, hash."""
+    """Runs of all strings of the texts: text number, start, number of strings, anchor's place in it, anchor, hash.
+
+    The hash is XXH3 of the run's bytes, of another kind than the anchor's, so that both together are 128 bits.
+    """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    joined = b"".join(texts)
+    data = np.frombuffer(joined, np.uint8)
     names = ("text", "start", "strings", "place", "anchor", "hash")
     if len(data) < length:
         return {k: np.zeros(0, np.int64) for k in names}
@@ -100,10 +105,12 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[str
     strings = np.minimum(np.diff(start, append=n), ends[text[start]] - length + 1 - start)
     start, strings = start[strings > 0], strings[strings > 0]
     text = text[start]
-    own = owner[start]
+    own, view = owner[start], memoryview(joined)
+    stop = start + strings - 1 + length
+    digests = [xxhash.xxh3_64_intdigest(view[a:b], 1) for a, b in zip(start.tolist(), stop.tolist())]
     return {
         "text": text, "start": start - (ends - sizes)[text], "strings": strings, "place": own - start,
-        "anchor": grams[own].view(np.int64), "hash": hashes.of(start, start + strings - 1 + length).view(np.int64),
+        "anchor": grams[own].view(np.int64), "hash": np.array(digests, np.uint64).view(np.int64),
     }
 
 
@@ -241,27 +248,36 @@ def _runs_frame(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                     stop += 1
                 found = runs(texts[at:stop], length, gram)
                 own = pa.array(found["text"] + at)
-                columns = [batch.column("doc_id").take(own), batch.column("th").take(own), pa.array(found["start"].astype(np.int32)), pa.array(found["strings"].astype(np.int16)), pa.array(found["place"].astype(np.int16)), pa.array(found["anchor"]), pa.array(found["hash"])]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "start", "strings", "place", "anchor", "hash"])
+                spot = found["start"].astype(np.int64) << 32 | found["strings"].astype(np.int64) << 16 | found["place"].astype(np.int64)
+                columns = [batch.column("doc_id").take(own), batch.column("th").take(own), *map(pa.array, (spot, found["anchor"], found["hash"]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "spot", "anchor", "hash"])
                 at = stop
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"doc_id {kind}, th long, start int, strings short, place short, anchor long, hash long")
-
+    return keyed.mapInArrow(run, f"doc_id {kind}, th long, spot long, anchor long, hash long")
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP, crowd: int = CROWD) -> DataFrame:
     """Runs with repeated strings: doc_id, th (xxhash64 of the text), start, strings, marks (which; null: all of them)."""
+    spark = docs.sparkSession
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     found = _runs_frame(keyed, length, gram)
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least"), F.max("hash").alias("most"))
-    shared = anchors.where("n > 1").select(F.col("anchor").alias("known"), (F.col("least") == F.col("most")).alias("settled"))
+    # tables of their own on the joins' aggregated sides, so that Spark may split the rows of a frequent anchor
+    shared = cut(anchors.where("n > 1").select(F.col("anchor").alias("known"), (F.col("least") == F.col("most")).alias("settled")))
+    release(spark)
+    # start, strings and place travel as one number
+    spread = {"start": F.shiftright("spot", 32).cast("int"), "strings": F.shiftright("spot", 16).bitwiseAND(F.lit(0xFFFF)).cast("int"), "place": F.col("spot").bitwiseAND(F.lit(0xFFFF)).cast("int")}
     again = cut(found.join(shared, F.col("anchor") == F.col("known")).drop("known"))
+    del shared
+    release(spark)
+    again = again.withColumns(spread).drop("spot")
     settled = again.where("settled").select("doc_id", "th", "start", "strings", F.lit(None).cast("binary").alias("marks"))
 
     # one of each kind of run stands for it; first() takes all its columns from one row
     unsettled = again.where("not settled")
     kinds = unsettled.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "th", "start", "strings", "place")])
     kinds = cut(kinds)
+    release(spark)
     crowded = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > crowd).select(F.col("anchor").alias("known"))
     flagged = kinds.join(crowded, F.col("anchor") == F.col("known"), "left").withColumn("crowd", F.col("known").isNotNull()).drop("known")
     wanted = flagged.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "hash", "n", "start", "strings", "place", "crowd")).alias("wanted"))
@@ -282,6 +298,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = S
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=names)
 
     segments = cut(held.mapInArrow(fetch, "anchor long, hash long, n long, strings long, place long, crowd boolean, bytes binary"))
+    release(spark)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -334,7 +351,8 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = S
     alone = kinds.where("n = 1").select(F.col("anchor").alias("k_anchor"), F.col("hash").alias("k_hash"))
     marked = calm.union(crowds)
     marked = marked.join(alone, (F.col("anchor") == F.col("k_anchor")) & (F.col("hash") == F.col("k_hash"))).select("anchor", "hash", "marks")
-    answers = marked.union(copies).select(F.col("anchor").alias("r_anchor"), F.col("hash").alias("r_hash"), "marks")
+    answers = cut(marked.union(copies).select(F.col("anchor").alias("r_anchor"), F.col("hash").alias("r_hash"), "marks"))
+    release(spark)
     judged = unsettled.join(answers, (F.col("anchor") == F.col("r_anchor")) & (F.col("hash") == F.col("r_hash")))
     return settled.union(judged.select("doc_id", "th", "start", "strings", "marks"))
 
