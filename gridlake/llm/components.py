@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 #: Rounds needed grow with the logarithm of the longest path; beyond this many something is wrong.
 MOST_ROUNDS = 60
@@ -48,5 +48,6 @@ def components(edges: DataFrame) -> DataFrame:
                 current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         seen = mark
+        release(edges.sparkSession)
         current = cut(_small_star(_large_star(current).distinct()).distinct())
     raise RuntimeError("the components did not settle")

@@ -24,6 +24,8 @@ from .components import components
 
 #: Words of a shingle, seed of its hash, greatest number of differing bits of a link.
 WORDS, SEED, RADIUS = 3, 42, 2
+#: Fingerprints of which one task emits the variants, on average.
+EMITTED = 1 << 14
 #: Shingles hashed at a time, so that a text of any length needs little memory.
 BLOCK = 1 << 16
 
@@ -60,10 +62,14 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(u, v): for fingerprints ``fp`` within ``radius`` bits, links whose components are those of all such pairs."""
+    """(u, v): for fingerprints ``fp`` within ``radius`` bits, links whose components are those of all such pairs.
+
+    Fingerprints are few bytes but become 65 rows each, so they are dealt out by their number before they do.
+    """
     if radius != 2:
         raise ValueError("a variant's members are sure to lie within the radius for radius 2 only")
-    distinct = prints.select("fp").distinct()
+    tasks = max(1, -(-prints.count() // EMITTED))
+    distinct = prints.select("fp").distinct().repartition(tasks, "fp")
     ball = F.array(F.lit(0).cast("long"), *[F.shiftleft(F.lit(1).cast("long"), i) for i in range(64)])
     variants = distinct.select("fp", F.explode(F.transform(ball, lambda bit: F.col("fp").bitwiseXOR(bit))).alias("variant"))
     met = variants.groupBy("variant").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
