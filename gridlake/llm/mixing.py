@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, col, free_name
+from .common import WORD, col, cut, free_name
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -59,10 +59,16 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST) -> Dat
     return found.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, digits: int = DIGITS, seed: str = "") -> DataFrame:
+def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size) of ``docs``, written once, so that no text is read or counted again."""
+    return cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, digits: int = DIGITS, seed: str = "", size: Column | None = None) -> DataFrame:
     """``docs`` with size, source_size, target and copies (how often the mix takes the document).
 
-    Columns of ``docs`` with these names are replaced. Null texts have size 0; a null source is a source of its own,
+    ``size`` is an expression over ``docs``, by default the number of words of its column text. Columns of ``docs`` with
+    these names are replaced. Null texts have size 0; a null source is a source of its own,
     the last one; a null doc_id sorts by the digest of an empty id; repeated rows are documents of their own. Rows that
     tie in size, id and digest are interchangeable: their copies may be dealt either way. An empty table gives none.
     """
@@ -71,13 +77,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, digits: int = DIGITS
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     names = {k: free_name(docs, k) for k in ("mix_class", "mix_digest", "mix_bucket", "mix_rank", "mix_before", "mix_rate", "mix_u")}
     n = {k: col(v) for k, v in names.items()}
-    base = docs.select(*[col(c) for c in kept], n_words(F.col("text")).alias("size"))
+    size = n_words(F.col("text")) if size is None else size
+    base = docs.select(*[col(c) for c in kept], size.alias("size"))
     keyed = base.withColumns({names["mix_class"]: _size_class(F.col("size")), names["mix_digest"]: digest})
     keyed = keyed.withColumn(names["mix_bucket"], F.substring(n["mix_digest"], 1, digits))
 
-    slim = docs.select("source", n_words(F.col("text")).alias("size"), digest.alias("d"))
+    slim = docs.select("source", size.alias("size"), digest.alias("d"))
     counts = slim.groupBy("source", _size_class(F.col("size")).alias("c"), F.substring("d", 1, digits).alias("b"))
-    counts = counts.agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words"))
+    counts = cut(counts.agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")))  # for two uses one count
     plan = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     before = Window.partitionBy("source").orderBy("c", "b").rowsBetween(Window.unboundedPreceding, -1)
     summed = counts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
