@@ -235,15 +235,15 @@ class PieceCache:
 
     PROBES = 6
 
-    def __init__(self, merges, bits: int = CACHE_BITS, room: int = 1 << 22):
+    def __init__(self, merges, bits: int = CACHE_BITS, room: int = 1 << 23):
         self.merges, self.bits, self.room = merges, bits, room
         self._clear()
 
     def _clear(self) -> None:
         n = 1 << self.bits
         self.key = np.zeros(n, np.uint64)
-        self.start, self.count = np.zeros(n, np.int32), np.zeros(n, np.int32)  # of the ids; count 0: free
-        self.place, self.length = np.zeros(n, np.int32), np.zeros(n, np.int32)  # of the codepoints
+        self.start, self.count = np.zeros(n, np.int32), np.zeros(n, np.int32)  # of the ids
+        self.place, self.length = np.zeros(n, np.int32), np.zeros(n, np.int32)  # of the codepoints; length 0: free
         self.ids, self.used, self.held = np.zeros(1 << 16, np.uint32), 0, 0
         self.code, self.written = np.zeros(1 << 16, np.uint32), 0
 
@@ -263,11 +263,12 @@ class PieceCache:
             if not len(open_):
                 break
             s = (home[open_] + k) & mask
-            hit = (self.key[s] == key[open_]) & (self.length[s] == n[open_]) & (self.count[s] > 0)
+            size = self.length[s]
+            hit = (size == n[open_]) & (self.key[s] == key[open_])
             some = np.flatnonzero(hit)
             hit[some] = _equal(code, at[open_[some]], self.code, self.place[s[some]].astype(np.int64), n[open_[some]])
             slot[open_[hit]] = s[hit]
-            open_ = open_[~hit & (self.count[s] > 0)]  # beyond a free slot nothing of this home is held
+            open_ = open_[~hit & (size > 0)]  # beyond a free slot nothing of this home is held
         return slot
 
     def _hold(self, key, start, count, place, length) -> None:
@@ -276,7 +277,7 @@ class PieceCache:
         left = np.arange(len(key))
         for k in range(self.PROBES):
             s = (home[left] + k) & mask
-            free = np.flatnonzero(self.count[s] == 0)
+            free = np.flatnonzero(self.length[s] == 0)
             _, first = np.unique(s[free], return_index=True)
             put = free[first]
             i, j = left[put], s[put]
