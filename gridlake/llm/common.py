@@ -19,11 +19,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, a laptop) a folder of this process is made and set.
+    Only where it is unset and Spark runs on this machine alone (tests, a laptop) a folder of this process is made and set.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("a cluster has to name its shared folder in spark.checkpoint.dir")
         own = tempfile.mkdtemp(prefix="gridlake-")
         atexit.register(shutil.rmtree, own, True)
         folder = "file://" + own
