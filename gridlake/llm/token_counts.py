@@ -35,7 +35,8 @@ def write_flat(docs: DataFrame, folder: str, model: str, end_id: int, kind: str
     """Write the documents' ids to flat files, one a task, in the order in which the tasks read them; returns (file,
     ordinal, doc_id) of what it wrote. No text is shuffled.
 
-    A file is written under a name of its own and renamed when whole, so tasks may be run again or twice.
+    A file is written under a name of its own and renamed when whole, so tasks may be run again or twice. A text that
+    makes the end id, or an id beyond ``kind``, fails the job: its counts would be wrong.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,6 +49,8 @@ def write_flat(docs: DataFrame, folder: str, model: str, end_id: int, kind: str
                 for at in range(0, batch.num_rows, ROWS):
                     some = batch.slice(at, ROWS)
                     for ids, _ in coder.encode([t or "" for t in some.column("text").to_pylist()]):
+                        if len(ids) and (int(ids.max()) > np.iinfo(kind).max or (ids == end_id).any()):
+                            raise ValueError(f"a text holds the end-of-document id {end_id}, or an id that {kind} can't hold")
                         out.write(ids.astype(kind).tobytes() + np.array([end_id], kind).tobytes())
                     n = some.num_rows
                     yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array(range(ordinal, ordinal + n), pa.int64()), some.column("doc_id")], names=["file", "ordinal", "doc_id"])

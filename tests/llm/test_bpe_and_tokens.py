@@ -173,3 +173,10 @@ def test_a_full_cache_of_codepoints_starts_anew(reference):
     for _ in range(3):
         for t in texts:
             assert next(coder.encode([t]))[0].tolist() == reference.encode_ordinary(t)
+
+
+@pytest.mark.parametrize("end, kind", [(64, "<u2"), (50256, "u1")])
+def test_ids_that_would_give_wrong_counts_are_refused(frame, end, kind):
+    """An end id that a text holds ("a" is 64), and ids that the files' numbers can't hold."""
+    with pytest.raises(Exception, match="end-of-document id"):
+        token_counts.token_counts(frame([(1, "a word")], "doc_id long, text string"), LIBRARY, end, kind).count()
