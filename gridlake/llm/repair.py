@@ -5,11 +5,13 @@ many pairs a round, left to right; a pair never crosses the end of a document, s
 its own. The file keeps the rules with their expansion lengths, the symbols, and for each document where its symbols
 begin and how many ids they stand for: any document, or any stretch of ids in it, decodes without the others.
 
-Layout of a shard, little-endian: ``RPR1``, then unsigned 32-bit numbers of documents, symbols, rules and the first
-nonterminal; then per document id (signed 64-bit), whether the id is null (one byte), end in the symbols and number of
-ids (unsigned 32-bit); per rule left, right and expansion length (unsigned 32-bit); the symbols (unsigned 16-bit if the
-grammar fits, else 32-bit). Shards are rows of a Parquet dataset, which any file system of Spark's can hold and whose
-commit survives lost tasks: shard (partition * 2 ** 32 + number), n_docs, n_ids, payload.
+Symbols are numbered densely: first the ids that the shard uses, then its nonterminals. Layout, little-endian: ``RPR2``,
+then unsigned 32-bit numbers of documents, symbols, rules and ids used; the ids used (unsigned 32-bit); per document id
+(signed 64-bit), whether the id is null (one byte), end in the symbols and number of ids (unsigned 32-bit); the rules'
+left and right symbols; their expansion lengths (unsigned 32-bit); the symbols. Symbols are written as their low 16 bits,
+then one packed bit plane for each bit above that the largest needs. Shards are rows of a Parquet dataset, which any
+file system of Spark's can hold and whose commit survives lost tasks: shard (partition * 2 ** 32 + number), n_docs,
+n_ids, payload.
 """
 
 from __future__ import annotations
@@ -26,76 +28,95 @@ from pyspark.sql import functions as F
 from .bpe import ROWS, encoder
 from .common import new_path
 
-#: Ids of a shard, rounds of replacement, least count of a pair that is replaced.
-SHARD_IDS, ROUNDS, LEAST = 1 << 21, 6, 24
-MAGIC = b"RPR1"
+#: Ids of a shard; least counts of a pair that is replaced, frequent pairs first. The last is where a rule (8 bytes) pays.
+SHARD_IDS, LEAST = 1 << 21, (512, 64, 8)
+MAGIC = b"RPR2"
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(symbols, ends of the documents in them, rules, first nonterminal); ``ends``: of the documents in ``ids``.
+def _frequent(seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs that begin at ``least`` or more of the places ``at``, those places, which pair begins at each).
 
     Pairs are counted by 20-bit digests first; only pairs whose digest is frequent are counted one by one.
     """
-    first = int(ids.max()) + 1 if len(ids) else 0
-    space = max(0, (1 << 16) - first) if first < 60_000 else 1 << 16
-    seq = ids.astype(np.uint32)
+    code = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+    digest = ((code * _SPREAD) >> np.uint64(44)).astype(np.int32)
+    likely = (np.bincount(digest, minlength=1 << 20) >= least)[digest]
+    at, code = at[likely], code[likely]
+    pairs, which, n = np.unique(code, return_inverse=True, return_counts=True)
+    keep = n >= least
+    hit = keep[which]
+    return pairs[keep], at[hit], (np.cumsum(keep) - 1)[which[hit]]
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, least: tuple[int, ...] = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, ends of the documents in them, rules, ids used); ``ends``: of the documents in ``ids``.
+
+    For each count in ``least`` rounds go on until no pair occurs so often. A round replaces all pairs that do, so that
+    in the next one only pairs with a symbol made just now can have become as frequent, and only those are counted.
+    """
+    used = np.flatnonzero(np.bincount(ids)) if len(ids) else np.zeros(0, np.int64)
+    dense = np.zeros(int(used[-1]) + 1 if len(used) else 0, np.uint32)
+    dense[used] = np.arange(len(used))
+    seq, made = dense[ids], len(used)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
-    made = 0
-    for turn in range(rounds):
-        if len(seq) < 2 or made >= space:
-            break
-        code = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        digest = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        inside = ~last[:-1]
-        count = np.bincount(digest[inside], minlength=1 << 20)
-        likely = code[inside & (count >= least)[digest]]
-        pairs, n = np.unique(likely, return_counts=True)
-        most = max(1, (space - made) // (rounds - turn))
-        keep = n >= least
-        pairs, n = pairs[keep], n[keep]
-        if len(pairs) > most:
-            keep = np.sort(np.argsort(-n, kind="stable")[:most])
-            pairs = pairs[keep]
-        if not len(pairs):
-            break
-        wanted = np.zeros(1 << 20, bool)
-        wanted[((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)] = True
-        at = np.flatnonzero(wanted[digest] & inside)
-        which = np.searchsorted(pairs, code[at])
-        hit = pairs[np.minimum(which, len(pairs) - 1)] == code[at]
-        at, which = at[hit], which[hit]
-        # of pairs that overlap in a run every second one is replaced, from the left
-        begin = np.ones(len(at), bool)
-        begin[1:] = np.diff(at) != 1
-        even = (np.arange(len(at)) - np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0))) % 2 == 0
-        at, which = at[even], which[even]
-        seq[at] = first + made + which
-        last[at] = last[at + 1]
-        stays = np.ones(len(seq), bool)
-        stays[at + 1] = False
-        seq, last = seq[stays], last[stays]
-        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        made += len(pairs)
+    for count in least:
+        fresh = 0  # the first symbol of the round before
+        while len(seq) > 1:
+            begins = ~last[:-1]
+            if fresh:
+                new = seq >= fresh
+                begins &= new[:-1] | new[1:]
+            pairs, at, which = _frequent(seq, np.flatnonzero(begins), count)
+            if not len(pairs):
+                break
+            # of pairs that overlap in a run every second one is replaced, from the left
+            head = np.ones(len(at), bool)
+            head[1:] = np.diff(at) != 1
+            even = (np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))) % 2 == 0
+            at, which = at[even], which[even]
+            uses = np.bincount(which, minlength=len(pairs)) > 0  # what others overlap everywhere gets no rule
+            pairs = pairs[uses]
+            fresh = made
+            seq[at] = fresh + (np.cumsum(uses) - 1)[which]
+            last[at] = last[at + 1]
+            stays = np.ones(len(seq), bool)
+            stays[at + 1] = False
+            seq, last = seq[stays], last[stays]
+            rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+            made += len(pairs)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     stops = np.zeros(len(ends), np.int64)
     stops[np.diff(ends, prepend=0) > 0] = np.flatnonzero(last) + 1
-    return seq, np.maximum.accumulate(stops) if len(stops) else stops, table, first
+    return seq, np.maximum.accumulate(stops) if len(stops) else stops, table, used
+
+
+def _high_bits(symbols: int) -> int:
+    """Bits above 16 that numbers below ``symbols`` need."""
+    return max(0, (symbols - 1).bit_length() - 16)
+
+
+def _planes(numbers: np.ndarray, bits: int) -> bytes:
+    """Low 16 bits of all numbers, then a packed plane for each of ``bits`` higher ones."""
+    high = [np.packbits((numbers >> np.uint32(16 + k) & np.uint32(1)).astype(bool)).tobytes() for k in range(bits)]
+    return b"".join([(numbers & np.uint32(0xFFFF)).astype("<u2").tobytes(), *high])
 
 
-def pack(doc_ids: list, documents: list[np.ndarray]) -> bytes:
+def pack(doc_ids: list, documents: list[np.ndarray], least: tuple[int, ...] = LEAST) -> bytes:
     """A shard of whole documents."""
     lengths = np.array([len(d) for d in documents], np.int64)
     ids = np.concatenate(documents) if documents else np.zeros(0, np.uint32)
-    seq, stops, rules, first = compress(ids, np.cumsum(lengths))
-    size = np.ones(first + len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        size[first + k] = size[a] + size[b]
-    head = np.array([len(documents), len(seq), len(rules), first], "<u4").tobytes()
-    wide = "<u2" if first + len(rules) <= 1 << 16 else "<u4"
+    seq, stops, rules, used = compress(ids, np.cumsum(lengths), least)
+    size = [1] * len(used)
+    for a, b in rules.tolist():
+        size.append(size[a] + size[b])
+    head = np.array([len(documents), len(seq), len(rules), len(used)], "<u4").tobytes()
     numbers = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids)
-    return b"".join([MAGIC, head, numbers, stops.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), np.column_stack([rules, size[first:]]).astype("<u4").tobytes(), seq.astype(wide).tobytes()])
+    bits = _high_bits(len(size))
+    grammar = [_planes(rules[:, 0], bits), _planes(rules[:, 1], bits), np.array(size[len(used) :], "<u4").tobytes()]
+    return b"".join([MAGIC, head, used.astype("<u4").tobytes(), numbers, stops.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), *grammar, _planes(seq, bits)])
 
 
 class Shard:
@@ -104,27 +125,38 @@ class Shard:
     def __init__(self, payload: bytes):
         if payload[:4] != MAGIC:
             raise ValueError("not a shard")
-        n, symbols, rules, self.first = np.frombuffer(payload, "<u4", 4, 4).tolist()
-        at = 20
-        take = lambda kind, count: np.frombuffer(payload, kind, count, at)
-        numbers, at = take("<i8", n), at + 8 * n
-        nulls, at = take("u1", n), at + n
+        n, symbols, rules, n_used = np.frombuffer(payload, "<u4", 4, 4).tolist()
+        at, bits = 20, _high_bits(n_used + rules)
+
+        def take(kind: str, count: int) -> np.ndarray:
+            nonlocal at
+            begin, at = at, at + np.dtype(kind).itemsize * count
+            return np.frombuffer(payload, kind, count, begin)
+
+        def planes(count: int) -> np.ndarray:
+            out = take("<u2", count).astype(np.uint32)
+            for k in range(bits):
+                out |= np.unpackbits(take("u1", -(-count // 8)), count=count).astype(np.uint32) << np.uint32(16 + k)
+            return out
+
+        self.used = take("<u4", n_used)
+        numbers, nulls = take("<i8", n), take("u1", n)
         self.doc_ids = [None if z else d for d, z in zip(numbers.tolist(), nulls.tolist())]
-        self.stops, at = take("<u4", n).astype(np.int64), at + 4 * n
-        self.lengths, at = take("<u4", n).astype(np.int64), at + 4 * n
-        table, at = take("<u4", 3 * rules).reshape(rules, 3), at + 12 * rules
-        self.rules, self.sizes = table[:, :2], table[:, 2].astype(np.int64)
-        self.symbols = take("<u2" if self.first + rules <= 1 << 16 else "<u4", symbols)
+        self.stops, self.lengths = take("<u4", n).astype(np.int64), take("<u4", n).astype(np.int64)
+        self.rules = np.stack([planes(rules), planes(rules)], axis=1)
+        self.sizes = take("<u4", rules).astype(np.int64)
+        self.symbols = planes(symbols)
         self._table: tuple | None = None
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all expansions, where each symbol's begins, its length)."""
         if self._table is None:
-            room = np.concatenate([np.arange(self.first, dtype=np.uint32), np.zeros(int(self.sizes.sum()), np.uint32)])
-            length = np.concatenate([np.ones(self.first, np.int64), self.sizes])
-            start = np.concatenate([np.arange(self.first), self.first + np.cumsum(self.sizes) - self.sizes]).astype(np.int64)
+            first = len(self.used)
+            room = np.concatenate([self.used.astype(np.uint32), np.zeros(int(self.sizes.sum()), np.uint32)])
+            length = np.concatenate([np.ones(first, np.int64), self.sizes])
+            start = np.concatenate([np.arange(first), first + np.cumsum(self.sizes) - self.sizes]).astype(np.int64)
             begin, size = start.tolist(), length.tolist()
-            for k, (a, b) in enumerate(self.rules.tolist(), self.first):
+            for k, (a, b) in enumerate(self.rules.tolist(), first):
                 p, m = begin[k], begin[k] + size[a]
                 room[p:m] = room[begin[a] : begin[a] + size[a]]
                 room[m : p + size[k]] = room[begin[b] : begin[b] + size[b]]
@@ -166,8 +198,9 @@ def write(docs: DataFrame, path: str, model: str, end_id: int = 0, shard_ids: in
     """Encode ``docs`` in ascending doc_id order (null ids first), append ``end_id`` to each and write shards to ``path``.
 
     Ids are those of the library as loaded: the model's added tokens in a text are their own ids. Null texts count as
-    empty: the end id alone. Documents that share a doc_id follow each other, ordered by a digest of
-    their text. Other columns are not read; an empty table writes a dataset without shards.
+    empty: the end id alone. doc_id is an integer. Documents that share a doc_id, or have none, follow each other in
+    the order of a digest of their text, and may fill several partitions. Other columns are not read; an empty table
+    writes a dataset without shards.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +227,7 @@ def write(docs: DataFrame, path: str, model: str, end_id: int = 0, shard_ids: in
             yield shard()
 
     digest = F.xxhash64(F.coalesce("text", F.lit("")))
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", digest)
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", digest).sortWithinPartitions("doc_id", digest)
     ordered.mapInArrow(run, "shard long, n_docs long, n_ids long, payload binary").write.parquet(path)
 
 
