@@ -11,6 +11,7 @@ directions are orthonormal, which makes the counts steadier than independent one
 
 Every vector is indexed and every query meets every block: cells (block of vectors, block of queries) of bounded size
 are dealt over the cluster, and the best k of each cell are merged. No block is ever larger, however alike its vectors.
+How many queries share a cell changes what is shuffled, never what is found, as a query searches each block by itself.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import cut
 
 #: Directions, half width of a window in units of the radius, share of the directions in which a vector must collide.
 DIRECTIONS, WIDTH, SHARE = 64, 1.0, 0.64
 #: First radius (the longest vector has length 1), growth of the radius, and the radius that reaches everything.
 RADIUS, GROWTH, WHOLE = 0.9, 1.07, 2.0
-#: Vectors and queries of a cell.
-BLOCK, QUERIES = 1 << 13, 1 << 10
+#: Vectors of a cell; its queries, from the fewest to the most, the fewer while there are not so many CELLS.
+BLOCK, QUERIES, MOST_QUERIES, CELLS = 1 << 13, 1 << 10, 1 << 13, 1 << 12
 
 
 def directions(dim: int, m: int = DIRECTIONS, seed: int = 7) -> np.ndarray:
@@ -110,37 +114,37 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, block: int = BLOCK,
 
     ``vectors`` has vec_id and embedding. Rows with a null vec_id, and vectors that are null, zero or hold null or
     non-finite components, take no part; vectors of another length than the query's are no candidates. Of rows that
-    share a vec_id one counts (that whose components come first). Ties go to the smaller vec_id; with fewer candidates
+    share a vec_id and a length one counts (that whose components come first). Ties go to the smaller vec_id; with fewer candidates
     than ``k`` all are returned; an empty table gives an empty result.
     """
-    usable = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    usable = usable.where(F.col("vec_id").isNotNull() & takes_part(F.col("v")))
+    given = vectors.schema["embedding"].dataType.elementType
+    v = F.col("embedding") if isinstance(given, T.FloatType) else F.col("embedding").cast("array<double>")
+    usable = vectors.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & takes_part(F.col("v")))
+    # one row an id, combined before the shuffle, so that a much repeated id is no hot key
+    usable = cut(usable.groupBy("vec_id", F.size("v").alias("dim")).agg(F.min("v").alias("v")))
     asks = F.col("vec_id") % every == 0
     n, n_queries = usable.agg(F.count(F.lit(1)), F.count(F.when(asks, 1))).first()
-    blocks, parts = max(1, -(-n // block)), max(1, -(-n_queries // queries))
+    blocks = max(1, -(-n // block))
+    parts = max(1, -(-n_queries // max(queries, MOST_QUERIES)), min(-(-n_queries // queries), -(-CELLS // blocks)))
     spread = lambda count, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(count)).cast("int")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    size = F.size("v").alias("dim")
-    data = usable.select(size, spread(blocks, 1).alias("block"), each(parts).alias("part"), F.lit(False).alias("asks"), "vec_id", "v")
-    ask = usable.where(asks).select(size, each(blocks).alias("block"), spread(parts, 2).alias("part"), F.lit(True).alias("asks"), "vec_id", "v")
+    data = usable.select("dim", spread(blocks, 1).alias("block"), each(parts).alias("part"), F.lit(False).alias("asks"), "vec_id", "v")
+    ask = usable.where(asks).select("dim", each(blocks).alias("block"), spread(parts, 2).alias("part"), F.lit(True).alias("asks"), "vec_id", "v")
 
     def run(key, cell):
         dim = key[0].as_py()
         kind = cell.column("asks").to_numpy()
         ids = cell.column("vec_id").to_numpy().astype(np.int64)
-        flat = pa.compute.list_flatten(cell.column("v")).to_numpy().reshape(-1, dim)
+        flat = pa.compute.list_flatten(cell.column("v")).to_numpy().astype(np.float64).reshape(-1, dim)
 
-        def one_each(mask):
+        def ordered(mask):
             i, x = ids[mask], flat[mask]
             order = np.argsort(i, kind="stable")
-            if len(np.unique(i)) < len(i):
-                order = np.lexsort((*x.T[::-1], i))
-            i, x = i[order], x[order]
-            first = np.append(True, i[1:] != i[:-1]) if len(i) else np.zeros(0, bool)
-            return i[first], x[first]
-
-        (vec_ids, vecs), (query_ids, asked) = one_each(~kind), one_each(kind)
-        got = Block(vec_ids, vecs).search(query_ids, asked, k) if len(vec_ids) and len(query_ids) else []
+            return i[order], x[order]
+
+        (vec_ids, vecs), (query_ids, asked) = ordered(~kind), ordered(kind)
+        index = Block(vec_ids, vecs) if len(vec_ids) and len(query_ids) else None
+        got = [g for at in range(0, len(query_ids), QUERIES) for g in index.search(query_ids[at : at + QUERIES], asked[at : at + QUERIES], k)] if index else []
         empty = np.zeros(0, np.int64)
         return pa.table({
             "query_id": np.repeat(query_ids[: len(got)], [len(i) for i, _ in got]) if got else empty,
