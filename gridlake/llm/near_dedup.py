@@ -24,6 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .bpe import ROWS
 from .common import cut, new_path, release, same, without_rows
 
@@ -33,6 +34,8 @@ WORDS, SEED, PART, WHOLE = 5, 42, 4, 5
 ROUNDS = 1
 #: Candidates whose ids are broadcast at most (two ids and two digests each, so 32 MB).
 BROADCAST = 1 << 20
+#: 64-bit words of a sketch.
+SKETCH = 8
 #: Texts of the sample, its texts that make a shingle common, most common shingles kept. They affect speed only.
 SAMPLE, COMMON, MOST = 50_000, 4, 1 << 18
 
@@ -129,6 +132,36 @@ POSSIBLE = f"{WHOLE} * least(n, n0) >= {PART} * greatest(n, n0) and least(r, r0)
 FIRST = f"least(r - p, r0 - p0) + 1 + {BEYOND} >= {NEEDED}"
 
 
+#: What the sketches of similar texts fulfil: they share at least 4/9 of n + n0, so 1/9 of it is in one only.
+CLOSE = f"{PART + WHOLE} * ({' + '.join(f'bit_count(b{k} ^ b{k}0)' for k in range(SKETCH))}) <= {WHOLE - PART} * (n + n0)"
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the shingles in each of 64 * SKETCH slots, as SKETCH numbers."""
+    slots = (shingles >> np.uint64(32)).astype(np.int64) % (64 * SKETCH)
+    return np.packbits((np.bincount(slots, minlength=64 * SKETCH) & 1).astype(bool)).view(np.int64)
+
+
+def _sketched(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``rows`` with the sketches of their texts, b0, b1 and so on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros((batch.num_rows, SKETCH), np.int64)
+            for row, t in enumerate(batch.column("text")):
+                found[row] = sketch(shingles(t.as_py()))
+            columns = [*batch.select(["doc_id", "h"]).columns, *[pa.array(np.ascontiguousarray(c)) for c in found.T]]
+            yield pa.RecordBatch.from_arrays(columns, names=["d", "t", *names])
+
+    names = [f"b{k}" for k in range(SKETCH)]
+    needed = rows.select(F.col("doc_id").alias("d"), F.col("h").alias("t")).distinct()
+    if needed.count() <= BROADCAST:  # else the texts would have to be shuffled
+        keyed = keyed.join(F.broadcast(needed), same(keyed, needed, [("doc_id", "d"), ("h", "t")]), "left_semi")
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    sketches = keyed.mapInArrow(run, f"d {kind}, t long, " + ", ".join(f"{b} long" for b in names)).dropDuplicates(["d", "t"])
+    return rows.join(sketches, same(rows, sketches, [("doc_id", "d"), ("h", "t")])).drop("d", "t")
+
+
 def _similar_pairs(near: DataFrame, keyed: DataFrame) -> DataFrame:
     """(doc_id, h) of those ``near`` pairs (doc_id, h, doc_id0, h0) whose texts are similar."""
 
@@ -156,6 +189,17 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(away, same(rows, away, [("doc_id", "d"), ("h", "t")]), "left_anti")
 
 
+def linked_copies(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(doc_id, h) of rows that ball hashing puts into a component whose least row they are similar to."""
+    found = simhash.near_duplicates(docs).select("component_id", "doc_id", F.col("text_xxh64").alias("h"))
+    found = _stored(found.distinct())
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    many = found.groupBy("component_id").agg(F.min(order).alias("top"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    tops = many.select(F.col("component_id").alias("c"), F.col("top.doc_id").alias("doc_id0"), F.col("top.h").alias("h0"))
+    pairs = found.join(tops, same(found, tops, [("component_id", "c")])).where("h <> h0 or not doc_id <=> doc_id0")
+    return cut(_similar_pairs(pairs.select("doc_id", "h", "doc_id0", "h0"), keyed))
+
+
 def near_copies(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, h) of rows that go: each is similar to a row with a lesser (doc_id, text digest), null ids last.
 
@@ -163,9 +207,15 @@ def near_copies(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    gone = [linked_copies(docs, keyed)]
+    release(spark)
     common = spark.sparkContext.broadcast(common_shingles(keyed))
     release(spark)
-    met, gone = _stored(_met(prefixes(keyed, common))), []
+    rows = prefixes(keyed, common)
+    linked = gone[0].select(F.col("doc_id").alias("d"), F.col("h").alias("t"))
+    linked = F.broadcast(linked) if gone[0].count() <= BROADCAST else linked
+    rows = rows.join(linked, same(rows, linked, [("doc_id", "d"), ("h", "t")]), "left_anti")
+    met = _stored(_met(rows))
     for _ in range(rounds):
         release(spark)
         # each text against the least one of its shingles, which has then met all others there
@@ -173,8 +223,9 @@ def near_copies(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         gone.append(cut(_similar_pairs(pairs, keyed)))
         met = _stored(_met(_without(met.where("k > 1").select("shingle", "doc_id", "h", "n"), gone[-1])))
     release(spark)
-    least = met.select("shingle", *[F.col(c).alias(f"{c}0") for c in ("doc_id", "h", "n", "r", "p", "k")])
-    pairs = met.select("shingle", "doc_id", "h", "n", "r", "p", "k").join(least, "shingle").where(f"k0 < k and {POSSIBLE} and {FIRST}")
+    met = _stored(_sketched(met.select("shingle", "doc_id", "h", "n", "r", "p", "k"), keyed))
+    least = met.select("shingle", *[F.col(c).alias(f"{c}0") for c in met.columns if c != "shingle"])
+    pairs = met.join(least, "shingle").where(f"k0 < k and {POSSIBLE} and {FIRST} and {CLOSE}")
     near = pairs.select("doc_id", "h", "doc_id0", "h0").distinct()
     gone.append(cut(_similar_pairs(near, keyed)))
     return functools.reduce(DataFrame.union, gone).distinct()
