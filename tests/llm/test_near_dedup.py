@@ -84,3 +84,13 @@ def test_stage_links_by_ball_hashing_and_verifies(spark, frame, monkeypatch):
     assert stays == {2, 8, 9, 10, 11}
     named = {r.doc_id: r.component_id for r in linked[0].collect()}
     assert named[5] == named[None] == 2 and named[11] == named[10] == 10
+
+
+def test_sketches_part_loose_texts():
+    draw = random.Random(3)
+    texts = [" ".join(f"y{draw.random()}" if draw.random() < 0.05 else f"x{i}" for i in range(150)) for _ in range(60)]
+    found = [near_dedup.shingles(t) for t in texts]
+    apart = lambda x, y: sum(int(v).bit_count() for v in (near_dedup.sketch(x) ^ near_dedup.sketch(y)).view("uint64"))
+    far = [(x, y) for j, x in enumerate(found) for y in found[:j] if not near_dedup.similar(x, y)]
+    left = [(x, y) for x, y in far if 9 * apart(x, y) <= len(x) + len(y)]
+    assert len(far) > 1000 and len(left) < len(far) // 20
