@@ -15,10 +15,12 @@ import base64
 import functools
 import hashlib
 import json
+import os
 import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Codepoints scanned at a time (a single longer text is scanned whole), rows made at a time.
-BATCH, ROWS = 1 << 18, 512
+BATCH, ROWS = 1 << 19, 512
+#: Pieces that the tokenizers library gets as one text.
+TOGETHER = 256
 #: A worker's cache has two to this many slots.
 CACHE_BITS = 20
 #: Unicode's White_Space property.
@@ -137,6 +141,10 @@ def boundaries(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarra
     return joined, code, at, np.append(np.searchsorted(at[:-1], starts), len(at) - 1)
 
 
+def _text(code: np.ndarray) -> str:
+    return code.astype("<u4", copy=False).tobytes().decode("utf-32-le", "surrogatepass")
+
+
 class RankMerges:
     """Pair merging by the ranks of a byte-level BPE's rank file; the merging of one piece is the tiktoken library's."""
 
@@ -150,48 +158,70 @@ class RankMerges:
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
-    def pieces(self, pieces: list[str]) -> list[list[int]]:
-        merge = self.model._encode_single_piece
-        return [merge(p.encode("utf-8", "surrogatepass")) for p in pieces]
+    def merge(self, code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces, one after the other, numbers of ids); ``size``: codepoints of each piece in ``code``."""
+        merge, text, ends = self.model._encode_single_piece, _text(code), np.cumsum(size)
+        made = [merge(text[a:b].encode("utf-8", "surrogatepass")) for a, b in zip((ends - size).tolist(), ends.tolist())]
+        n = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), np.uint32, int(n.sum())), n
 
 
 class LibraryMerges:
     """The ids that the tokenizers library gives a piece; its byte-level models split texts by the same pattern."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        # tasks fill the cores already: threads of the library's own, woken for some thousand pieces, only cost CPU
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(path) as file:
             known = json.load(file)
         split = known["pre_tokenizer"]
         if not split or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
             raise ValueError(f"{path} is no byte-level model without prefix spaces")
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         added = known.get("added_tokens") or []
         if known.get("normalizer") or any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
             raise ValueError(f"{path} normalizes texts or has added tokens that depend on what surrounds them")
         self.added = {t["content"]: t["id"] for t in added}
         vocabulary = known["model"]["vocab"]
+        if any(chr(c) not in vocabulary for c in byte_letters().tolist()):
+            raise ValueError(f"{path} has no token for some bytes")
+        self.model = Tokenizer(Tokenizer.from_file(path).model)  # the library's merging; pieces come cut and in its letters
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte is one character in these files
         for token, number in vocabulary.items():
             self.n_bytes[number] = len(token)
 
-    def pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Blank-and-letters pieces go to the library many at a time, joined: it splits them at the blanks again."""
-        out: list = [None] * len(pieces)
-        plain = [i for i, p in enumerate(pieces) if p[0] == " " and p[1:].isalpha()]
-        joins = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for some, coded in zip(joins, self.model.encode_batch_fast(["".join(pieces[i] for i in j) for j in joins], add_special_tokens=False)):
-            ids = coded.ids
-            ends = np.cumsum(self.n_bytes[ids])
-            stops = np.searchsorted(ends, np.cumsum([len(pieces[i].encode()) for i in some])) + 1
-            for i, a, b in zip(some, [0, *stops[:-1].tolist()], stops.tolist()):
-                out[i] = ids[a:b]
-        rest = [i for i, v in enumerate(out) if v is None]
-        for i, coded in zip(rest, self.model.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
-            out[i] = coded.ids
-        return out
+    def merge(self, code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces, one after the other, numbers of ids); ``size``: codepoints of each piece in ``code``.
+
+        The pieces' bytes go to the library many at a time, as the letters that its files have for bytes; none is a
+        blank, so blanks part the pieces. Tokens don't cross these, so that counts of bytes tell whose they are.
+        """
+        raw = np.frombuffer(_text(code).encode(), np.uint8)
+        firsts = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))  # byte at which each codepoint begins
+        stops = firsts[np.cumsum(size)]
+        piece = np.arange(len(size))
+        letters = np.full(len(raw) + len(size), 0x20, "<u2")
+        letters[np.arange(len(raw)) + np.repeat(piece, np.diff(stops, prepend=0))] = byte_letters()[raw]
+        text = letters.tobytes().decode("utf-16-le")
+        cuts = [0, *(stops + piece + 1)[TOGETHER - 1 : -1 : TOGETHER].tolist(), len(text)]
+        coded = self.model.encode_batch_fast([text[a:b] for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
+        ids = np.concatenate([np.array(c.ids, np.uint32) for c in coded])
+        ends = np.cumsum(self.n_bytes[ids])
+        last = np.searchsorted(ends, stops)
+        if len(ids) != last[-1] + 1 or (ends[last] != stops).any():
+            raise ValueError("the library's tokens don't end where the pieces do")
+        return ids, np.diff(last, prepend=-1)
+
+
+@functools.cache
+def byte_letters() -> np.ndarray:
+    """The character that byte-level models write for each byte: itself if it is printable, else one from 256 on."""
+    shown = np.zeros(256, bool)
+    for a, b in ((0x21, 0x7F), (0xA1, 0xAD), (0xAE, 0x100)):
+        shown[a:b] = True
+    return np.where(shown, np.arange(256), 255 + np.cumsum(~shown)).astype("<u2")
 
 
 _ODD = 0x9E3779B97F4A7C15
@@ -219,8 +249,8 @@ def _equal(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, n:
     if not len(n):
         return np.zeros(0, bool)
     begin = np.cumsum(n) - n
-    offset = np.arange(int(n.sum())) - np.repeat(begin, n)
-    return ~np.logical_or.reduceat(x[np.repeat(x_at, n) + offset] != y[np.repeat(y_at, n) + offset], begin)
+    each = np.arange(int(n.sum()))
+    return ~np.logical_or.reduceat(x.take(np.repeat(x_at - begin, n) + each) != y.take(np.repeat(y_at - begin, n) + each), begin)
 
 
 class PieceCache:
@@ -292,7 +322,7 @@ class PieceCache:
             setattr(self, name, store)
         store[used : used + len(more)] = more
 
-    def encode(self, text: str, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, token offset of each piece and their number); ``at``: where the pieces begin and end."""
         key, length, begins = self._hashes(code, at), np.diff(at), at[:-1]
         slot = self._find(key, code, begins, length)
@@ -308,22 +338,20 @@ class PieceCache:
             other = np.flatnonzero(~alike)
             which[other] = len(first) + np.arange(len(other))
             one = new[np.concatenate([first, other])]
-            made = self.merges.pieces([text[i:j] for i, j in zip(begins[one].tolist(), at[one + 1].tolist())])
-            n = np.fromiter(map(len, made), np.int64, len(made))
-            flat = np.fromiter((x for m in made for x in m), np.uint32, int(n.sum()))
+            size = length[one]
+            before = np.cumsum(size) - size
+            fresh = code.take(np.repeat(begins[one] - before, size) + np.arange(int(size.sum())))
+            flat, n = self.merges.merge(fresh, size)
             begin = base + np.cumsum(n) - n
             start[new], count[new] = begin[which], n[which]
             self._append("ids", base, flat)
-            size = length[one]
-            place = self.written + np.cumsum(size) - size
-            total = int(size.sum())
-            full = self.held + len(one) > (1 << self.bits) // 2 or max(base + len(flat), self.written + total) > self.room
+            full = self.held + len(one) > (1 << self.bits) // 2 or max(base + len(flat), self.written + len(fresh)) > self.room
             if not full:
-                self._append("code", self.written, code[np.repeat(begins[one] - place + self.written, size) + np.arange(total)])
-                self.used, self.written = base + len(flat), self.written + total
-                self._hold(key[one], begin, n, place, size)
+                self._append("code", self.written, fresh)
+                self._hold(key[one], begin, n, self.written + before, size)
+                self.used, self.written = base + len(flat), self.written + len(fresh)
         ends = np.concatenate([[0], np.cumsum(count)])
-        out = self.ids[np.repeat(start - ends[:-1], count) + np.arange(ends[-1])]
+        out = self.ids.take(np.repeat(start - ends[:-1], count) + np.arange(ends[-1]))
         if full:
             self._clear()
         return out, ends
@@ -343,8 +371,8 @@ class Encoder:
             while stop < len(texts) and (stop == at or size + len(texts[stop]) <= BATCH):
                 size += len(texts[stop])
                 stop += 1
-            joined, code, cuts, firsts = boundaries(texts[at:stop])
-            ids, ends = self.cache.encode(joined, code, cuts)
+            _, code, cuts, firsts = boundaries(texts[at:stop])
+            ids, ends = self.cache.encode(code, cuts)
             for a, b in zip(firsts.tolist(), firsts[1:].tolist()):
                 own = ends[a : b + 1]
                 yield ids[own[0] : own[-1]], own - own[0]

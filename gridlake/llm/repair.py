@@ -32,21 +32,37 @@ from .common import new_path
 SHARD_IDS, LEAST = 1 << 21, (512, 64, 8)
 MAGIC = b"RPR2"
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Added to the last symbol of a document while pairs are replaced.
+_LAST = np.uint32(1 << 31)
 
 
-def _frequent(seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs that begin at ``least`` or more of the places ``at``, those places, which pair begins at each).
+def _frequent(code: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs that occur ``least`` or more times in ``code``, in order; those of the places ``at``; which pair is at each).
 
-    Pairs are counted by 20-bit digests first; only pairs whose digest is frequent are counted one by one.
+    Pairs are counted by digests of up to 20 bits first; only pairs whose digest is frequent are counted one by one. The
+    pair that was seen last with a digest is counted by it; only pairs that share a digest with another one are sorted.
     """
-    code = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-    digest = ((code * _SPREAD) >> np.uint64(44)).astype(np.int32)
-    likely = (np.bincount(digest, minlength=1 << 20) >= least)[digest]
-    at, code = at[likely], code[likely]
-    pairs, which, n = np.unique(code, return_inverse=True, return_counts=True)
-    keep = n >= least
-    hit = keep[which]
-    return pairs[keep], at[hit], (np.cumsum(keep) - 1)[which[hit]]
+    bits = min(20, max(8, (16 * len(code) // least).bit_length()))
+    digest = ((code * _SPREAD) >> np.uint64(64 - bits)).astype(np.intp)
+    many = np.flatnonzero(np.bincount(digest, minlength=1 << bits) >= least)
+    slots = np.full(1 << bits, -1, np.int32)
+    slots[many] = np.arange(len(many))
+    slot = slots.take(digest)
+    likely = np.flatnonzero(slot >= 0)
+    code, slot = code.take(likely), slot.take(likely).astype(np.intp)
+    held = np.zeros(len(many), np.uint64)
+    held[slot] = code
+    rest = np.flatnonzero(held.take(slot) != code)
+    more, which = np.unique(code.take(rest), return_inverse=True)
+    slot[rest] = len(many) + which
+    found = np.flatnonzero(np.bincount(slot, minlength=len(many) + len(more)) >= least)
+    pairs = np.concatenate([held, more])[found]
+    order = np.argsort(pairs)
+    number = np.full(len(many) + len(more), -1)
+    number[found[order]] = np.arange(len(found))
+    which = number.take(slot)
+    hit = np.flatnonzero(which >= 0)
+    return pairs[order], at.take(likely.take(hit)), which.take(hit)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, least: tuple[int, ...] = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,38 +75,38 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: tuple[int, ...] = LEAST)
     dense = np.zeros(int(used[-1]) + 1 if len(used) else 0, np.uint32)
     dense[used] = np.arange(len(used))
     seq, made = dense[ids], len(used)
-    last = np.zeros(len(seq), bool)
-    last[ends[ends > 0] - 1] = True
+    seq[ends[ends > 0] - 1] |= _LAST
     rules: list[np.ndarray] = []
     for count in least:
-        fresh = 0  # the first symbol of the round before
+        fresh: np.ndarray | None = None  # where the symbols stand that the round before made
         while len(seq) > 1:
-            begins = ~last[:-1]
-            if fresh:
-                new = seq >= fresh
-                begins &= new[:-1] | new[1:]
-            pairs, at, which = _frequent(seq, np.flatnonzero(begins), count)
+            if fresh is None:
+                at = np.flatnonzero(seq[:-1] < _LAST)
+            else:  # pairs that begin before or at such a symbol
+                at = np.stack([fresh - 1, fresh], axis=1).ravel()
+                at = at[(np.diff(at, prepend=-1) > 0) & (at < len(seq) - 1)]
+                at = at[seq.take(at) < _LAST]
+            code = (seq.take(at).astype(np.uint64) << np.uint64(32)) | (seq.take(at + 1) & ~_LAST)
+            pairs, at, which = _frequent(code, at, count)
             if not len(pairs):
                 break
             # of pairs that overlap in a run every second one is replaced, from the left
             head = np.ones(len(at), bool)
             head[1:] = np.diff(at) != 1
-            even = (np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))) % 2 == 0
-            at, which = at[even], which[even]
+            even = np.flatnonzero((np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))) & 1 == 0)
+            at, which = at.take(even), which.take(even)
             uses = np.bincount(which, minlength=len(pairs)) > 0  # what others overlap everywhere gets no rule
             pairs = pairs[uses]
-            fresh = made
-            seq[at] = fresh + (np.cumsum(uses) - 1)[which]
-            last[at] = last[at + 1]
+            seq[at] = (made + np.cumsum(uses) - 1).astype(np.uint32).take(which) | (seq.take(at + 1) & _LAST)
             stays = np.ones(len(seq), bool)
             stays[at + 1] = False
-            seq, last = seq[stays], last[stays]
+            seq, fresh = seq[stays], at - np.arange(len(at))
             rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
             made += len(pairs)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     stops = np.zeros(len(ends), np.int64)
-    stops[np.diff(ends, prepend=0) > 0] = np.flatnonzero(last) + 1
-    return seq, np.maximum.accumulate(stops) if len(stops) else stops, table, used
+    stops[np.diff(ends, prepend=0) > 0] = np.flatnonzero(seq >= _LAST) + 1
+    return seq & ~_LAST, np.maximum.accumulate(stops) if len(stops) else stops, table, used
 
 
 def _high_bits(symbols: int) -> int:
